@@ -1,19 +1,40 @@
-"""Corpus pipeline: stages over documents, each calling one operator."""
+"""Corpus pipeline: stages over `documents`, each calling one operator and passing on what it keeps.
+
+`run` applies the stages in turn. SQL can't express them (a fitted classifier, a fitted language
+model, signatures, a tokenizer), so ORACLE_SQL is None and tests compare each stage with a
+brute-force version."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import packing
-from loomline.llm.common import table
+from loomline.llm import langid, minhash, packing, quality
+from loomline.llm.common import cut, table
 from loomline.llm.queries import tokenizer_path
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quadratic discriminant doesn't reject; it learns from all labels."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the hierarchical classifier recognises."""
+    return langid.keep(docs, langid.fit(docs, "text", "lang"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    groups = minhash.near_duplicates(docs, size=5)
+    return docs.join(cut(groups.where("not kept").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality", keep_quality), ("language", keep_language), ("near_dedup", drop_near_copies), ("packing", pack)]
 ORACLE_SQL = None
 
 

@@ -121,37 +121,36 @@ class ForcedBoundaryBPE:
             ranks += piece(raw[i:j])
         bounds.append(len(ranks))
         ids = self._ids(ranks).tobytes()
-        if len(self._after_space) + len(words) > self._entries:
-            self._after_space.clear()
         self._after_space.update(zip(words, [ids[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:])]))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
         special, known, white = self._special, self._after_space, WHITE
-        parts: list[list[str]] = []
-        for text in texts:
-            split = text.split(" ") if text else []
-            if len(split) > 1 and (not split[0] or split[0][-1] in white) or split and special and any(t in text for t in self._added):
-                split = None
-            parts.append(split)
-        for lo in range(0, len(parts), 64):  # a bounded number of words at a time
-            need = set().union(*(p[1:] for p in parts[lo : lo + 64] if p))
-            need = [w for w in need.difference(known) if w and w[-1] not in white]
+        out: list[bytes] = []
+        for lo in range(0, len(texts), 64):  # a bounded number of words at a time
+            block = texts[lo : lo + 64]
+            parts: list[list[str] | None] = []
+            for text in block:
+                split = text.split(" ") if text else []
+                if len(split) > 1 and (not split[0] or split[0][-1] in white) or split and special and any(t in text for t in self._added):
+                    split = None
+                parts.append(split)
+            words = set().union(*(p[1:] for p in parts if p))
+            need = [w for w in words.difference(known) if w and w[-1] not in white]
             if len(known) + len(need) > self._entries:  # the memo starts anew and must hold what this block uses
                 known.clear()
-                need = [w for w in set().union(*(p[1:] for p in parts[lo : lo + 64] if p)) if w and w[-1] not in white]
+                need = [w for w in words if w and w[-1] not in white]
             if need:
                 self._learn(need)
-            for k in range(lo, min(lo + 64, len(parts))):
-                p, text = parts[k], texts[k]
+            for p, text in zip(parts, block):
                 if p:
                     try:
-                        parts[k] = self._chunk[p[0]] + b"".join(map(known.__getitem__, p[1:]))
+                        out.append(self._chunk[p[0]] + b"".join(map(known.__getitem__, p[1:])))
                         continue
                     except KeyError:  # white space before a space: not a certain cut
                         pass
-                parts[k] = b"" if not text else self._slow(text)
-        return parts
+                out.append(self._slow(text) if text else b"")
+        return out
 
     def _slow(self, text: str) -> bytes:
         """Texts with runs of white space or special tokens: cut before white space that follows a visible character."""
