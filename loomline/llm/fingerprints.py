@@ -23,7 +23,8 @@ _PAIR = (1 << 32) | 1
 
 
 def sketch(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """`keys, fingerprint` for each distinct key; rows of one key are one document.
+    """`keys, fingerprint, signs` for each distinct key; rows of one key are one document. `signs`
+    are the fingerprint's sign lanes as numbers, twice a lane less the count.
 
     Null texts count as empty: one empty paragraph. If `texts` is already partitioned by some of
     the keys there is no shuffle; otherwise sums are made before it."""
@@ -42,7 +43,9 @@ def sketch(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     for i in range(STRONG + 2, STRONG + 2 + SIGNS // 2):
         low.append(F.col(f"_s{i}"))
         high.append(F.shiftrightunsigned(f"_s{i}", 32))
-    return wide.select(*keys, _text(F.array(*low, *high)).alias("fingerprint"))
+    count = F.col(f"_s{STRONG + 1}")
+    centred = F.array(*((x.bitwiseAND(F.lit(_LOW)) * 2 - count).cast("double") for x in (*low[STRONG + 2 :], *high)))
+    return wide.select(*keys, _text(F.array(*low, *high)).alias("fingerprint"), centred.alias("signs"))
 
 
 def _text(lanes: Column) -> Column:
@@ -64,13 +67,18 @@ def delete(fingerprint: Column, part: Column) -> Column:
     return _text(F.zip_with(lanes(fingerprint), lanes(part), lambda a, b: a - b + F.lit(_LOW + 1)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Overlap of two fingerprints' trigrams from 0 to 1: twice their product by the sum of their
-    squares, estimated from the sign lanes. Equal fingerprints: 1; a null one: null."""
-    signs = lambda x: F.transform(F.slice(x, STRONG + 3, SIGNS), lambda v: (v * 2 - x[STRONG + 1]).cast("double"))
+def signs(fingerprint: Column) -> Column:
+    """The sign lanes of a fingerprint as numbers; give it a column of its own before comparing."""
+    lane = lambda i: F.conv(F.substring(fingerprint, i * 8 + 1, F.lit(8)), 16, 10).cast("double")
+    return F.transform(F.sequence(F.lit(STRONG + 2), F.lit(LANES - 1)), lambda i: lane(i) * 2 - lane(F.lit(STRONG + 1)))
+
+
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """Overlap of two documents' trigrams from 0 to 1, from their fingerprints' signs: twice their
+    product by the sum of their squares; 1 for the `same` fingerprint, null where one is missing."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    x, y = signs(lanes(a)), signs(lanes(b))
-    return F.when(a == b, F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(2 * dot(x, y), dot(x, x) + dot(y, y)), F.lit(0.0)))))
+    value = F.coalesce(F.try_divide(2 * dot(a, b), dot(a, a) + dot(b, b)), F.lit(0.0))
+    return F.when(same, F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,7 +87,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null texts count as empty; equal texts have equal fingerprints; rows that repeat an id are
     fingerprinted together, as paragraphs of one document; null ids are one document; an empty
     table gives an empty result; other columns are ignored."""
-    return sketch(docs.select(F.col(id_col), F.col(text_col).alias("_text")), [id_col], "_text")
+    return sketch(docs.select(F.col(id_col), F.col(text_col).alias("_text")), [id_col], "_text").drop("signs")
 
 
 def successors(docs: DataFrame, id_col: str, text_col: str, width: int = 512, most_buckets: int = 100_000) -> DataFrame:
@@ -122,6 +130,8 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     keys = ["bucket", "rank", "version", "ghost", id_col, "n_chars", "edited_sha256"]
     made = sketch(both, keys, "_text")
     by = Window.partitionBy("bucket").orderBy("rank", "version")
-    made = made.withColumn("edited_fingerprint", F.lead("fingerprint", 1).over(by)).withColumn("_next", F.lead("fingerprint", 2).over(by))
+    for name, ahead in (("edited", 1), ("next", 2)):
+        made = made.withColumn(f"{name}_fingerprint", F.lead("fingerprint", ahead).over(by)).withColumn(f"_{name}", F.lead("signs", ahead).over(by))
     made = made.where("version = 0 and not ghost")
-    return made.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
+    near = lambda name: likeness(F.col("signs"), F.col(f"_{name}"), F.col("fingerprint") == F.col(f"{name}_fingerprint")).alias(f"near_{name}")
+    return made.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited"), near("next"))
