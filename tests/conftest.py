@@ -14,5 +14,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from loomline.session import ship_package
+
+    ship_package(s)
     yield s
     s.stop()

@@ -30,7 +30,7 @@ def test_subtract_merge_and_piecewise(spark):
     b = spark.createDataFrame([(1, 2, 3), (1, 8, 12), (1, 2, 3)], "k long, bs long, be long")
     assert rows(iv.subtract(a, b, ["k"], ["o"], ("s", "e"), ("bs", "be"), 5)) == [(1, 1, 0, 2), (1, 1, 3, 8)]
     spans = spark.createDataFrame([(1, 4000, 6000), (1, 7000, 9000), (1, 19000, 21000), (1, 30900, 32900)], "k long, s long, e long")
-    assert rows(iv.merge_close(spans, ["k"], "s", "e", ["e"], 10000).select("s", "e")) == [(4000, 32900)]
+    assert rows(iv.merge_close(spans, ["k"], "s", "e", ["e"], 10000).select("s", "e")) == [(4000, 9000), (19000, 32900)]
     assert rows(iv.merge_close(spans, ["k"], "s", "e", ["e"], 9900).select("s", "e")) == [(4000, 9000), (19000, 21000), (30900, 32900)]
     seg = spark.createDataFrame([(0, 0, 10000, 0, 5000), (1, 10000, 20000, 5000, 7000)], "g long, s long, e long, ns long, ne long")
     pts = spark.createDataFrame([(t,) for t in (5000, 10000, 15000, 20000, 20001)], "t long")
