@@ -132,7 +132,7 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """`(id, n, h, g, bands, sig)`: the set's size and identity, its band keys, a byte of each signature value."""
+    """`(id, n, h, g, bands)`: the set's size and identity, and its band keys."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -147,24 +147,43 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                     pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)),
                     pa.array(np.array([_mix(s + _GOLD).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
-                    pa.array([x.tobytes() for x in (sig & np.uint64(255)).astype(np.uint8)], pa.binary()),
-                ], names=["id", "n", "h", "g", "bands", "sig"])
+                ], names=["id", "n", "h", "g", "bands"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, h long, g long, bands array<bigint>, sig binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, h long, g long, bands array<bigint>")
+
+
+def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the hashed ids, as bytes, and their number: 64 or more for each id but at most
+    2**28, so at most 32 MB reach the driver whatever the number of ids."""
+    n = ids.count()
+    bits = 1 << min(28, max(15, (64 * n).bit_length()))
+    at = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(bits))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    parts = ids.select(at.alias("p")).groupBy(F.expr("p div 32768").alias("b")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("m"))
+    for r in parts.collect():
+        out[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
+    return out, bits
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
-    """`(id, shingles)` of the documents named in `wanted(id)`."""
+    """`(id, shingles)` of the documents named in `wanted(id)`, and of a few others.
+
+    A bitmap of hashed ids of bounded size picks the documents as they are read, so no text is
+    shuffled; those it picks in vain meet no pair later."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bitmap, bits = _bitmap(wanted)
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                sets = shingle_sets(batch.column(1).slice(lo, 256).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+            p = batch.column(2).to_numpy()
+            take = np.flatnonzero(bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+            for lo in range(0, len(take), 256):
+                own = pa.array(take[lo : lo + 256])
+                sets = shingle_sets(batch.column(1).take(own).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
-    return some.mapInArrow(run, f"id {kind}, shingles binary").dropDuplicates(["id"])
+    at = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(bits))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col), at.alias("p")).mapInArrow(run, f"id {kind}, shingles binary").dropDuplicates(["id"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,29 +204,45 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * least >= percent * most).select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def near_cells(sig: np.ndarray, group: np.ndarray, side: np.ndarray | None, least: float, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different groups (and sides) whose signature bytes agree in a share of `least` or
-    more; with `best_only` the best pair of each two groups."""
-    n = len(sig)
-    rows, cols, like = [], [], []
-    for i in range(n - 1):
-        other = np.flatnonzero((group[i + 1 :] != group[i]) & (True if side is None else side[i + 1 :] != side[i])) + i + 1
-        if len(other):
-            s = (sig[other] == sig[i]).mean(1)
-            ok = s >= least
-            if ok.any():
-                rows.append(np.full(ok.sum(), i))
-                cols.append(other[ok])
-                like.append(s[ok])
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, int)
-    r, c, s = map(np.concatenate, (rows, cols, like))
-    if best_only:
-        lo, hi = np.minimum(group[r], group[c]), np.maximum(group[r], group[c])
-        order = np.lexsort((c, r, -s, hi, lo))
-        first = np.r_[True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]
-        r, c = r[order[first]], c[order[first]]
-    return r, c
+def link_cell(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links between different groups (and sides) of one cell, as few as join the same groups.
+
+    All intersections are counted at once: shingles that two sets share are columns of a 0/1
+    matrix, taken some thousands at a time, whose product with itself is the intersections."""
+    n = len(sets)
+    lengths = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(n), lengths)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    order = order[times[column[order]] > 1]
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    both = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((n, 4096), dtype=np.float32)
+        m[row[i:j], column[i:j] - lo] = 1
+        both += m @ m.T
+    linked = (100 * both >= percent * (lengths[:, None] + lengths[None, :] - both)) & (group[:, None] != group[None, :])
+    if side is not None:
+        linked &= side[:, None] != side[None, :]
+    r, c = np.nonzero(np.triu(linked, 1))
+    a, b = np.minimum(group[r], group[c]), np.maximum(group[r], group[c])
+    _, first = np.unique(a.astype(np.int64) * (int(group.max()) + 1) + b, return_index=True)
+    root = list(range(int(group.max()) + 1))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k in first.tolist():
+        x, y = top(int(a[k])), top(int(b[k]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(r[k]), int(c[k])))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -216,10 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are one class, named by its smallest id. Classes that share a band key are
     candidates. First each is confirmed on the whole sets against the smallest of its bucket, which
     is linear; components of these links follow. Buckets that still hold several components
-    are then compared whole, two blocks of BLOCK members to a task: pairs of different components
-    whose signatures agree to 0.14 below the threshold (4.5 standard errors) are confirmed, first
-    the best of each two components, then all that are left. So no pair is emitted
-    within what is already linked, and no bucket is capped.
+    are then compared whole, two blocks of BLOCK members to a task: a task counts all intersections
+    and gives only links that join components, fewer than its members, which are confirmed on the whole sets again.
+    So no pairs of what is already linked, and none that fail, are ever emitted, and no bucket is capped.
 
     Returns `id_col, n_shingles, component_id, kept`. Null and empty texts and texts without a
     word have an empty set and link with nothing; null ids link with nothing; rows that repeat an
@@ -229,48 +263,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = made.where("n > 0 and id is not null")
     key = ["h", "g", "n"]
     # Partial minima make one row of each class before the shuffle, however many copies there are.
-    classes = named.groupBy(*key).agg(F.min(F.struct("id", "bands", "sig")).alias("m")).select(*key, F.col("m.id").alias("rep"), "m.bands", "m.sig")
-    classes = cut(classes)
+    classes = cut(named.groupBy(*key).agg(F.min(F.struct("id", "bands")).alias("m")).select(*key, F.col("m.id").alias("rep"), "m.bands"))
     postings = classes.select("rep", F.posexplode("bands").alias("_b", "_k")).select(F.xxhash64("_b", "_k").alias("key"), "rep")
-    buckets = cut(postings.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_last"), F.count("*").alias("members")).where("centre <> _last"))
+    buckets = cut(postings.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_last"), F.count("*").alias("members")).where("centre <> _last").drop("_last"))
     members = cut(postings.join(buckets, "key").select("key", "centre", "members", "rep"))
     sets = cut(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, members.select(F.col("rep").alias("id")).distinct()))
-    tried = cut(members.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct())
-    links = cut(_confirm(tried, sets, percent))
-    components = cut(connected_components(links))
-    signs = classes.select("rep", "sig")
-    for best_only in (True, False):
-        state = members.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = state.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a <> _z").select("key")
-        cells = _cells(cut(state), cut(mixed), signs, kind, percent / 100 - 0.14, best_only)
-        more = cut(cells.distinct().join(tried, ["u", "v"], "left_anti"))
-        if more.isEmpty():
-            break
-        tried = cut(tried.unionByName(more))
-        found = cut(_confirm(more, sets, percent))
-        if found.isEmpty():
-            continue
+    pairs = members.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
+    components = cut(connected_components(_confirm(pairs, sets, percent)))
+    state = cut(members.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("component")))
+    mixed = cut(state.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a <> _z").select("key"))
+    links = cut(_confirm(_cells(state.join(mixed, "key"), sets, kind, percent).distinct(), sets, percent))
+    if not links.isEmpty():
         # The components so far are a spanning forest of all links confirmed before.
-        components = cut(connected_components(found.unionByName(components.select(F.col("id").alias("u"), F.col("component").alias("v")))))
+        components = cut(connected_components(links.unionByName(components.select(F.col("id").alias("u"), F.col("component").alias("v")))))
     per_class = cut(classes.select(*key, "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id")))
     out = made.select("id", *key).join(per_class, key, "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _cells(state: DataFrame, mixed: DataFrame, signs: DataFrame, kind: str, least: float, best_only: bool) -> DataFrame:
-    """Candidate pairs `(u, v)` of different components within the buckets named in `mixed`."""
-    rows = state.join(mixed, "key").join(signs, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+def _cells(rows: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Links `(u, v)` that join different components within buckets `(key, members, rep, component)`.
+
+    A shingle travels as 48 bits of its hash: a link missed for want of the others is less likely
+    than one in a thousand million, and one found in vain fails the confirmation that follows."""
+
+    def shorten(batches):
+        for batch in batches:
+            short = [np.frombuffer(s, dtype=np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["rep", "short"])
+
+    rows = rows.join(sets.mapInArrow(shorten, f"rep {kind}, short binary"), "rep")
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "component", "sig")
+    dealt = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "component", "short")
 
     def compare(key, t):
         t = t.combine_chunks().sort_by("rep")
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-        side = None if key[1].as_py() == key[2].as_py() else t.column("own").to_numpy()
         _, group = np.unique(t.column("component").to_numpy(), return_inverse=True)
-        r, c = near_cells(sig, group, side, least, best_only)
+        sets = []
+        for s in t.column("short").to_pylist():
+            wide = np.zeros((len(s) // 6, 8), dtype=np.uint8)
+            wide[:, :6] = np.frombuffer(s, dtype=np.uint8).reshape(-1, 6)
+            sets.append(wide.reshape(-1).view("<u8"))
+        side = None if key[1].as_py() == key[2].as_py() else t.column("own").to_numpy()
+        found = link_cell(sets, group, side, percent)
         rep = t.column("rep").combine_chunks()
-        return pa.table([rep.take(pa.array(r)), rep.take(pa.array(c))], names=["u", "v"])
+        return pa.table([rep.take(pa.array([i for i, _ in found], pa.int64())), rep.take(pa.array([j for _, j in found], pa.int64()))], names=["u", "v"])
 
     return dealt.groupBy("key", "a", "b").applyInArrow(compare, f"u {kind}, v {kind}")
