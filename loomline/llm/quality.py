@@ -19,25 +19,27 @@ _DIGIT[48:58] = True
 _PAUSE = np.zeros(256, bool)
 _PAUSE[[ord(c) for c in ".,;:?"]] = True
 _SYMBOL = np.zeros(256, bool)
-_SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:?!|'\"-()"]] = True
+_SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:?!|'\"-()=+@_/"]] = True
 
 
 def statistics(text: str | None) -> list[float]:
-    """Transformed statistics of a whole text; logarithms of sizes, square roots of shares."""
+    """Transformed statistics of a whole text: logarithms of sizes, square roots of shares.
+
+    Shares are taken as if some plain bytes and words came before, so that a short text's aren't extreme."""
     text = text or ""
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     hist = np.bincount(raw, minlength=256)
-    n = max(len(raw), 1)
+    n = len(raw) + 40
     words = text.split()
-    w = max(len(words), 1)
+    w = len(words) + 8
     distinct = len(set(words))
     repeats = sum(map(operator.eq, words, words[1:]))
     accented = "" if text.isascii() else text
     upper = hist[_UPPER].sum() + sum(accented.count(c) for c in "ÄÖÜÉÈÊÇÑÍÓÁÀ")
     share = lambda x: float(np.sqrt(x / n))
     return [
-        float(np.log1p(len(words))), float(np.log1p(len(text) / w)), share(upper), share(hist[_DIGIT].sum()), share(hist[_SYMBOL].sum()),
-        share(hist[_PAUSE].sum()), share(hist[33]), share(hist[124]), share(hist[10]), float(np.log1p(distinct) / np.log1p(w)) if words else 0.0,
+        float(np.log1p(len(words))), float(np.log1p((len(text) + 48) / w)), share(upper), share(hist[_DIGIT].sum()), share(hist[_SYMBOL].sum()),
+        share(hist[_PAUSE].sum()), share(hist[33]), share(hist[124]), share(hist[10]), float(np.log1p(distinct + 8) / np.log1p(w)),
         float(np.sqrt(repeats / w)), share(hist[128:].sum()), float(np.log1p(max(map(len, words), default=0))),
     ]
 
