@@ -7,9 +7,10 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-REVIEW = " [!REVIEW]"
-#: Where a long line may be cut, in order of preference: pattern, and whether the cut is before it.
-CUTS = (("[.!?…]\\s+", False), ("[,;:]\\s+", False), ("\\s+", False))
+# The mark of a line that a person should look at, and where a long line may be cut,
+# in order of preference: pattern, and whether the cut is before it.
+REVIEW = "[!REVIEW]"
+CUTS = (("[,.?!。、！:？-]+", False), (r"\b(?:and|but|or)\b", True), (r"\s", True))
 
 
 def rewrite(value: Column, generic: tuple[str, str] | None, specific: tuple[str, str] | None) -> Column:
@@ -119,12 +120,17 @@ def merged_text(a: dict, b: dict, most: int = 50, gap_same: int = 1000, gap_othe
     return f"{a['text']}\n{b['text']}" if same else f"- {a['text']}\n- {b['text']}"
 
 
+# HTTP codes and words by which errors of engines are told apart.
+QUOTA_CODES, DOWN_CODES = (402, 429), (500, 502, 503, 504)
+QUOTA_WORDS = "rate limit|rate_limit|quota|exceeded|too many requests|billing|credit|limit reached"
+DOWN_WORDS = "service unavailable|temporarily unavailable|overloaded|capacity|server error"
+
+
 def classify_error(code: Column, message: Column) -> Column:
     """`quota`, `unavailable` or `other` from an HTTP code, else from words of a message."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    quota = low.rlike("rate limit|rate_limit|quota|exceeded|too many requests|billing|credit|limit reached")
-    down = low.rlike("service unavailable|temporarily unavailable|overloaded|capacity|server error")
-    return F.when(code.isin(402, 429), "quota").when(code.isin(500, 502, 503, 504), "unavailable").when(quota, "quota").when(down, "unavailable").otherwise("other")
+    by_words = F.when(low.rlike(QUOTA_WORDS), "quota").when(low.rlike(DOWN_WORDS), "unavailable").otherwise("other")
+    return F.when(code.isin(*QUOTA_CODES), "quota").when(code.isin(*DOWN_CODES), "unavailable").otherwise(by_words)
 
 
 def tokens_estimate(modality: Column, units: Column) -> Column:

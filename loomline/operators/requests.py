@@ -92,26 +92,21 @@ def chunked_scan(end: int, scan: Callable[[int, int], list[tuple[int, int]]], ch
 def adjust_actions(at: list[float], pos: list[float], frame: float, top: int = 0, bottom: int = 0, low: float = 0, high: float = 100, filled: float = 0, extra: float = 0, centre: float = 50) -> tuple[list[float], list[float]]:
     """Offset tops and bottoms by frames, keep neighbours a frame apart by moving earlier ones back,
     and rescale each stroke into `[low, high]`, what it leaves unused split by `centre`."""
-    is_top, n = [], len(at)
-    for i in range(n):
-        if i == 0:
-            is_top.append(n > 1 and pos[0] > pos[1])
-        else:
-            is_top.append(is_top[-1] if pos[i] == pos[i - 1] else pos[i] > pos[i - 1])
-    t = [a + frame * (top if x else bottom) for a, x in zip(at, is_top)]
-    for i in range(1, n):
-        k = i
-        while k > 0 and t[k - 1] >= t[k] - frame / 2:
-            t[k - 1] = t[k] - frame
-            k -= 1
-    span, new = high - low, list(pos)
-    for i in range(1, n):
-        distance = abs(pos[i] - pos[i - 1])
-        if distance:
-            amplitude = (filled * span / 100 + distance * (100 - filled) * span / 1e4) * (1 + extra / 100)
-            floor, ceiling = low, high
-            if span > amplitude:
-                floor = low + (span - amplitude) * centre / 100
-                ceiling = floor + amplitude
-            new[i - 1], new[i] = (floor, ceiling) if pos[i - 1] < pos[i] else (ceiling, floor)
+    n = len(at)
+    rises = [b - a for a, b in zip(pos, pos[1:])]
+    way = -rises[0] if n > 1 else -1
+    t = []
+    for i in range(n):  # a flat step keeps the way of the one before; the first point is a top if what follows falls
+        way = rises[i - 1] if i and rises[i - 1] else way
+        t.append(at[i] + frame * (top if way > 0 else bottom))
+    for i in range(n - 1, 0, -1):
+        if t[i] - t[i - 1] <= frame / 2:
+            t[i - 1] = t[i] - frame
+    room, new = high - low, list(pos)
+    for i, rise in enumerate(rises):
+        if rise:
+            used = room * (filled + abs(rise) * (1 - filled / 100)) / 100 * (1 + extra / 100)
+            base = low + max(0.0, room - used) * centre / 100
+            ends = (base, min(base + used, high) if room > used else high)
+            new[i], new[i + 1] = ends if rise > 0 else ends[::-1]
     return t, new

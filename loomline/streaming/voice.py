@@ -43,35 +43,17 @@ class Hysteresis:
 def speech_spans(p: list[float], threshold: float = 0.5, speech: float = 4000, silence: float = 1600, pad: float = 480, window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans of speech of a whole signal: longer than `speech`, parted by at least `silence`, padded;
     a silence shorter than two pads is shared by its neighbours."""
-    total, spans, start, end = window * len(p), [], None, 0
-    for i, x in enumerate(p):
-        at = window * i
-        if x >= threshold:
-            end = 0
-            if start is None:
-                start = at
-        elif x < threshold - MARGIN and start is not None:
-            end = end or at
-            if at - end >= silence:
-                if end - start > speech:
-                    spans.append([start, end])
-                start, end = None, 0
-    if start is not None and total - start > speech:
-        spans.append([start, total])
-    for i, s in enumerate(spans):
-        if i == 0:
-            s[0] = int(max(0, s[0] - pad))
-        if i + 1 < len(spans):
-            gap = spans[i + 1][0] - s[1]
-            if gap < 2 * pad:
-                s[1] += int(gap // 2)
-                spans[i + 1][0] = int(max(0, spans[i + 1][0] - gap // 2))
-            else:
-                s[1] = int(min(total, s[1] + pad))
-                spans[i + 1][0] = int(max(0, spans[i + 1][0] - pad))
-        else:
-            s[1] = int(min(total, s[1] + pad))
-    return [tuple(s) for s in spans]
+    gate, total, edges = Hysteresis(threshold, silence, pad=0), window * len(p), []
+    for x in p:  # the automaton counts samples heard, a span those before the frame
+        event = gate.step(x, window)
+        if event:
+            edges.append(event[1] - window)
+    if len(edges) % 2:
+        edges.append(total)
+    spans = [(s, e) for s, e in zip(edges[::2], edges[1::2]) if e - s > speech]
+    gaps = [b[0] - a[1] for a, b in zip(spans, spans[1:])]
+    inner = [g // 2 if g < 2 * pad else pad for g in gaps]
+    return [(int(max(0, s - left)), int(min(total, e + right))) for (s, e), left, right in zip(spans, [pad, *inner], [*inner, pad])]
 
 
 class VotingGate:
