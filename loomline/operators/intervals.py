@@ -25,7 +25,11 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], l: tuple[str,
     hit = lb.join(rb, [*by, "_b"]).where((F.col(l[0]) < F.col(r[1])) & (F.col(l[1]) > F.col(r[0])) & (F.col("_b") == F.greatest("_lf", "_rf"))).drop("_b", "_lf", "_rf")
     if how == "inner":
         return hit
-    missing = left.join(hit.select(left.columns).distinct(), left.columns, "left_anti")
+    met = hit.select(*(F.col(c).alias(f"_m{i}") for i, c in enumerate(left.columns))).distinct()
+    same = F.lit(True)
+    for i, c in enumerate(left.columns):  # null-safe, so that rows with nulls are told apart too
+        same = same & F.col(c).eqNullSafe(F.col(f"_m{i}"))
+    missing = left.join(met, same, "left_anti")
     return hit.unionByName(missing, allowMissingColumns=True)
 
 

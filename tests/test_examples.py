@@ -49,6 +49,13 @@ def test_sweep_nearest_and_empty_sides(spark):
     assert iv.merge_close(empty, ["k"], "s", "e", ["o"], 1).count() == 0
 
 
+def test_left_overlap_keeps_rows_with_nulls_once(spark):
+    a = spark.createDataFrame([(1, 0, 10, None), (1, 0, 10, "x"), (1, None, 5, "y"), (2, 0, 1, None)], "k long, s long, e long, note string")
+    b = spark.createDataFrame([(1, 5, 6)], "k long, bs long, be long")
+    got = iv.overlap_join(a, b, ["k"], ("s", "e"), ("bs", "be"), 4, how="left")
+    assert sorted((r.k, r.note or "", r.bs or -1) for r in got.collect()) == [(1, "", 5), (1, "x", 5), (1, "y", -1), (2, "", -1)]
+
+
 def test_direction_runs_and_expand(spark):
     a = spark.createDataFrame([(1, i, p) for i, p in enumerate([0, 50, 100, 100, 60, 60, 20, 80])], "k long, i long, pos long")
     assert [r["run"] for r in il.direction_runs(a, ["k"], ["i"], "pos").orderBy("i").collect()] == [0, 1, 1, 1, 2, 2, 2, 3]
