@@ -57,10 +57,10 @@ def ag9_token_allocation(spark: SparkSession, d: str) -> DataFrame:
     return ag.allocate(c, ["id"], "est", "all_", "actual").select("id", "ord", F.round("actual", 6).alias("actual"))
 
 
-@query("SELECT conv_id AS doc, string_agg('[' || role || '] ' || substr(text, 1, 12), ' | ' ORDER BY turn) AS lines FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS doc, string_agg('[' || role || '] ' || text, ' | ' ORDER BY turn) AS lines FROM conversations GROUP BY conv_id")
 def ag10_string_aggregation(spark: SparkSession, d: str) -> DataFrame:
     """Tagged lines of each conversation in order."""
-    line = F.concat(F.lit("["), "role", F.lit("] "), F.substring("text", 1, 12))
+    line = F.concat(F.lit("["), "role", F.lit("] "), "text")
     return tb.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(ag.joined(line, ["turn"], " | ").alias("lines"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
+import numpy as np
+import pandas as pd
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -104,16 +105,20 @@ def sk12_offsets_json(spark: SparkSession, d: str) -> DataFrame:
     return tb.offsets(spark).select("ord", F.to_json(F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.col("off").alias("offset"))).alias("line"))
 
 
-@query()
+@query("SELECT CAST(vec_id AS INTEGER) AS frame, CAST(vec_id * 40 AS INTEGER) AS t_ms, len(embedding) AS blocs, CAST(list_sum(list_transform(embedding, lambda v: greatest(-128, least(127, trunc(CAST(v AS DOUBLE) * 200))))) AS BIGINT) AS x_sum FROM embeddings")
 def sc3_motion_file(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors written in the motion format and read by its data source, frames in ranges."""
-    path = os.path.join(tempfile.mkdtemp(prefix="loomline-motion-"), "a.mvs")
-    e = tb.table(spark, d, "embeddings").orderBy("vec_id").limit(300).select("vec_id", "embedding").collect()
-    byte = lambda v: int(max(-128, min(127, v * 200))) & 255
-    with open(path, "wb") as f:
-        f.write(motion_file.encode([(r[0], r[0] * 40, "P", bytes(map(byte, r[1])), bytes(map(byte, r[1][32:] + r[1][:32]))) for r in e], 8, 8))
-    spark.dataSource.register(motion_file.MotionSource)
-    return spark.read.format("motion").option("framesPartition", "100").load(path).select("frame", "t_ms", F.length("mx").alias("blocs"), F.md5("mx").alias("x"), F.md5("my").alias("y"))
+    """Vectors written in the motion format, a clip of a hundred frames to a file, and read back."""
+    clips = tb.table(spark, d, "embeddings").select("vec_id", "embedding", F.expr("vec_id div 100").alias("clip"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        frames = []
+        for r in p.sort_values("vec_id").itertuples():
+            x = np.clip(np.trunc(np.asarray(r.embedding, float) * 200), -128, 127).astype(np.int8)
+            frames.append((r.vec_id, r.vec_id * 40, "P", x.tobytes(), np.roll(x, -len(x) // 2).tobytes()))
+        out = motion_file.decode(motion_file.encode(frames, 8, len(frames[0][3]) // 8))
+        return pd.DataFrame([(n, t, len(x), int(np.frombuffer(x, np.int8).sum(dtype=np.int64))) for n, t, _, x, _ in out], columns=["frame", "t_ms", "blocs", "x_sum"])
+
+    return clips.groupBy("clip").applyInPandas(run, "frame int, t_ms int, blocs long, x_sum long")
 
 
 @query()

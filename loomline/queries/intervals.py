@@ -234,9 +234,9 @@ def j21_two_sided_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_sql("timings")
-    + ", b AS (SELECT script, ord, s, e + 3600000 * (k % 3) AS e, k FROM timings WHERE k % 5 = 0 AND e > s), m AS (SELECT script, s AS t FROM b UNION SELECT script, e FROM b), st AS (SELECT script, t, lead(t) OVER (PARTITION BY script ORDER BY t) AS u FROM m) SELECT st.script, t AS s, u AS e, arg_max(k, {'a': b.e - b.s, 'b': -b.s, 'c': -b.ord}) AS k FROM st JOIN b ON st.script = b.script AND b.s < u AND b.e > t WHERE u IS NOT NULL GROUP BY st.script, t, u"
+    + ", b AS (SELECT script, ord, s, e + 3600000 * (k % 3) AS e, k FROM timings WHERE e > s), m AS (SELECT script, s AS t FROM b UNION SELECT script, e FROM b), st AS (SELECT script, t, lead(t) OVER (PARTITION BY script ORDER BY t) AS u FROM m) SELECT st.script, t AS s, u AS e, arg_max(k, {'a': b.e - b.s, 'b': -b.s, 'c': -b.ord}) AS k FROM st JOIN b ON st.script = b.script AND b.s < u AND b.e > t WHERE u IS NOT NULL GROUP BY st.script, t, u"
 )
 def ws11_sweep_longest_wins(spark: SparkSession, d: str) -> DataFrame:
     """Elementary stretches, each with the longest covering interval's value."""
-    b = tb.timings(spark, d).where("k % 5 = 0").select("script", "ord", "s", (F.col("e") + HOUR * (F.col("k") % 3)).alias("e"), "k", (F.col("e") > F.col("s")).alias("_ok")).where("_ok").drop("_ok")
+    b = tb.timings(spark, d).select("script", "ord", "s", (F.col("e") + HOUR * (F.col("k") % 3)).alias("e"), "k", (F.col("e") > F.col("s")).alias("_ok")).where("_ok").drop("_ok")
     return iv.sweep(b, ["script"], "s", "e", "ord", "k")

@@ -23,10 +23,10 @@ def _blocs(spark: SparkSession, d: str) -> DataFrame:
     return mo.explode_frames(e, "frame", "embedding").withColumn("sg", F.expr("case frame % 3 when 0 then 1 when 1 then -1 else 0 end"))
 
 
-@query("WITH " + _BLOCS + f" SELECT frame, bloc, d AS direction, {_W.format(d='d')} AS weight FROM blocs, range(12) q(d) WHERE frame < 100")
+@query("WITH " + _BLOCS + f" SELECT frame, bloc, d AS direction, {_W.format(d='d')} AS weight FROM blocs, range(12) q(d)")
 def sf9_j14_motion_weight(spark: SparkSession, d: str) -> DataFrame:
-    """Projected motion in all directions, for the first hundred frames' report."""
-    b = _blocs(spark, d).where("frame < 100").withColumn("direction", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
+    """Projected motion in all directions."""
+    b = _blocs(spark, d).withColumn("direction", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
     return b.select("frame", "bloc", "direction", mo.weight(F.col("mx"), F.col("my"), F.col("direction")).alias("weight"))
 
 

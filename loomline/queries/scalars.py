@@ -133,9 +133,9 @@ def sf27_error_kinds(spark: SparkSession, d: str) -> DataFrame:
     return tb.actions(spark, d).select("ord", tx.classify_error(F.expr(_CODES), F.expr(_WORDS)).alias("kind"))
 
 
-@query("SELECT item_id, replace(replace(replace(replace(substr(text, 1, 60) || '\\''':%', '\\', '\\\\'), '''', '\\'''), ':', '\\:'), '%', '\\%') AS shown FROM benchmark".replace("'\\''':%'", "chr(92) || chr(39) || ':%'").replace("'\\', '\\\\'", "chr(92), chr(92) || chr(92)").replace("'''', '\\'''", "chr(39), chr(92) || chr(39)"))
+@query("SELECT item_id, replace(replace(replace(replace(text || '\\''':%', '\\', '\\\\'), '''', '\\'''), ':', '\\:'), '%', '\\%') AS shown FROM benchmark".replace("'\\''':%'", "chr(92) || chr(39) || ':%'").replace("'\\', '\\\\'", "chr(92), chr(92) || chr(92)").replace("'''', '\\'''", "chr(39), chr(92) || chr(39)"))
 def sf28_escape(spark: SparkSession, d: str) -> DataFrame:
-    x = F.concat(F.substring("text", 1, 60), F.lit("\\':%"))
+    x = F.concat("text", F.lit("\\':%"))
     return tb.table(spark, d, "benchmark").select("item_id", tx.escape_drawtext(x).alias("shown"))
 
 
@@ -267,9 +267,9 @@ def so_set_operations(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sf14_sf15_fit_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of at most 120 characters broken into lines of 50: pattern search outside SQL."""
+    """Texts broken into two lines where one of the cut patterns allows: a search outside SQL."""
     fit = F.pandas_udf(lambda s: s.map(tx.fit_line), T.StringType())
-    return tb.table(spark, d, "benchmark").select("item_id", fit(F.trim(F.substring("text", 1, 120))).alias("shown"))
+    return tb.table(spark, d, "benchmark").select("item_id", fit(F.trim("text")).alias("shown"))
 
 
 @query()

@@ -45,7 +45,7 @@ def ws7_pad_and_split(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ws19_conform_subtitles(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring subtitles merged greedily, then lines fitted."""
-    t = tb.subtitles(spark, d).select("doc", "ord", "speaker", F.substring("text", 1, 40).alias("text"), F.expr("s div 60").alias("s"), F.expr("s div 60 + 900").alias("e"))
+    t = tb.subtitles(spark, d).select("doc", "ord", "speaker", "text", F.expr("s div 60").alias("s"), F.expr("s div 60 + 900").alias("e"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         out = sq.merge_pairs(p.sort_values("ord").to_dict("records"), tx.merged_text)

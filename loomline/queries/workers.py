@@ -13,12 +13,12 @@ from loomline.sources.tables import HOUR, with_sql
 from . import query
 
 
-@query(with_sql("subtitles") + "SELECT doc, ord, s, e, 'VoiceText=' || substr(text, 1, 30) AS meta FROM subtitles WHERE doc NOT IN (SELECT doc FROM subtitles WHERE contains(text, 'ie'))")
+@query(with_sql("subtitles") + "SELECT doc, ord, s, e, 'VoiceText=' || text AS meta FROM subtitles WHERE doc NOT IN (SELECT doc FROM subtitles WHERE contains(text, 'ie'))")
 def sc14_sc15_gated_import(spark: SparkSession, d: str) -> DataFrame:
     """Texts imported as metadata, from files of which no line holds the review marker any more."""
     t = tb.subtitles(spark, d)
     ready = t.groupBy("doc").agg(F.bool_or(F.contains("text", F.lit("ie"))).alias("_open")).where("not _open").select("doc")
-    m = F.create_map(F.lit("VoiceText"), F.substring("text", 1, 30))
+    m = F.create_map(F.lit("VoiceText"), "text")
     return t.join(ready, "doc", "left_semi").select("doc", "ord", "s", "e", F.concat(F.map_keys(m)[0], F.lit("="), F.map_values(m)[0]).alias("meta"))
 
 
@@ -59,17 +59,16 @@ def sk11_soft_delete(spark: SparkSession, d: str) -> DataFrame:
     return tb.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("."), F.substring(F.sha2("text", 256), 1, 12)).alias("moved"))
 
 
-@query(with_sql("actions") + ", x AS (SELECT script, ord AS i, pos FROM actions WHERE script < 10), w AS (SELECT script, i, pos, lead(pos) OVER w AS p1, lead(pos, 2) OVER w AS p2 FROM x WINDOW w AS (PARTITION BY script ORDER BY i)) SELECT a.script, arg_min(b.script, {'a': abs(a.pos - b.pos) + abs(a.p1 - b.p1) + abs(a.p2 - b.p2), 'b': b.i, 'c': a.i}) AS other, min(abs(a.pos - b.pos) + abs(a.p1 - b.p1) + abs(a.p2 - b.p2)) AS error FROM w a JOIN w b ON a.script <> b.script WHERE a.p2 IS NOT NULL AND b.p2 IS NOT NULL GROUP BY a.script")
+@query(with_sql("actions") + ", w AS (SELECT script, ord AS i, pos, lead(pos) OVER w AS p1, lead(pos, 2) OVER w AS p2 FROM actions WINDOW w AS (PARTITION BY script ORDER BY ord)), e AS (SELECT a.script, a.i, b.i AS j, abs(a.pos - b.pos) + abs(a.p1 - b.p1) + abs(a.p2 - b.p2) AS error FROM w a JOIN w b ON b.script = a.script + 1 WHERE a.p2 IS NOT NULL AND b.p2 IS NOT NULL) SELECT script, min(error) AS error, arg_min(i, {'a': error, 'b': i, 'c': j}) AS i, arg_min(j, {'a': error, 'b': i, 'c': j}) AS j FROM e GROUP BY script")
 def j13_least_error(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks of ten signals against peaks of the others: the pair of least L1 error over three samples.
-
-    The peaks of a stated set of signals are compared with all others: a bounded product."""
+    """Every place of a signal against every place of the next one: the pair of least L1 error over
+    three samples. The join is on the pair of signals, and its rows are reduced before any shuffle."""
     w = Window.partitionBy("script").orderBy("i")
-    x = tb.actions(spark, d).where("script < 10").select("script", F.col("ord").alias("i"), "pos").withColumn("v", F.array("pos", F.lead("pos").over(w), F.lead("pos", 2).over(w))).where("v[2] is not null").drop("pos")
-    b = x.select(F.col("script").alias("other"), F.col("i").alias("j"), F.col("v").alias("u"))
+    x = tb.actions(spark, d).select("script", F.col("ord").alias("i"), "pos").withColumn("v", F.array("pos", F.lead("pos").over(w), F.lead("pos", 2).over(w))).where("v[2] is not null").drop("pos")
+    b = x.select((F.col("script") - 1).alias("script"), F.col("i").alias("j"), F.col("v").alias("u"))
     error = F.aggregate(F.zip_with("v", "u", lambda p, q: F.abs(p - q)), F.lit(0).cast("long"), lambda s, v: s + v)
-    pairs = x.join(F.broadcast(b), F.col("script") != F.col("other")).withColumn("error", error)
-    return pairs.groupBy("script").agg(F.min_by("other", F.struct("error", "j", "i")).alias("other"), F.min("error").alias("error"))
+    best = x.join(b, "script").select("script", F.struct(error.alias("error"), "i", "j").alias("e")).groupBy("script").agg(F.min("e").alias("e"))
+    return best.select("script", "e.error", "e.i", "e.j")
 
 
 @query(with_sql("actions") + ", p AS (SELECT script, max(k) AS hi FROM actions GROUP BY script) SELECT a.script, a.ord, k % 10 AS label, k % 10 = max(k % 10) OVER (PARTITION BY a.script, t // 86400000) AS best FROM actions a")

@@ -27,6 +27,20 @@ def encode(frames: list[tuple[int, int, str, bytes, bytes]], across: int, down:
     return out.getvalue()
 
 
+def decode(data: bytes) -> list[tuple[int, int, str, bytes, bytes]]:
+    """Frames of a whole file's bytes; a file cut short ends before its partial frame."""
+    head = HEADER.unpack_from(data)
+    if head[0] != b"FTMV":
+        raise ValueError("not a motion file")
+    blocs = head[7] * head[8]
+    return [_frame(data[at : at + FRAME.size + 2 * blocs], blocs) for at in range(HEADER.size, len(data) - FRAME.size - 2 * blocs + 1, FRAME.size + 2 * blocs)]
+
+
+def _frame(raw: bytes, blocs: int) -> tuple[int, int, str, bytes, bytes]:
+    number, ms, kind = FRAME.unpack_from(raw)
+    return number, ms, kind.decode("latin-1"), raw[FRAME.size : FRAME.size + blocs], raw[FRAME.size + blocs :]
+
+
 class FrameRange(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -53,8 +67,7 @@ class MotionReader(DataSourceReader):
                 raw = f.read(size)
                 if len(raw) < size:  # a file cut short ends here
                     return
-                number, ms, kind = FRAME.unpack(raw[: FRAME.size])
-                yield number, ms, kind.decode("latin-1"), raw[FRAME.size : FRAME.size + self.blocs], raw[FRAME.size + self.blocs :]
+                yield _frame(raw, self.blocs)
 
 
 class MotionSource(DataSource):
