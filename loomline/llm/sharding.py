@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 #: Small groups travel in this many bundles; with the groups over 1/BUNDLES of all bytes or rows
 #: (at most 2 * BUNDLES) they bound what the driver packs, whatever the size of the input.
 BUNDLES = 16384
-#: Rows numbered by one task, and the most parts that one bundle or group is numbered in.
-SLOT_ROWS, MAX_SALTS = 20_000, 4096
+#: Rows of a part, numbered by one task, at least; and the parts that all rows make at most.
+PART_ROWS, PARTS = 256, 1 << 20
 
 
 def best_fit_decreasing(sizes: list[tuple[int, int]], n_bins: int) -> dict[int, int]:
@@ -43,7 +43,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     Size is the text's UTF-8 bytes (null: none) plus 1. A group is all rows of one text hash;
     groups over 1/BUNDLES of the bytes or rows are packed alone, the others in BUNDLES bundles
     by hash; the driver packs these items by best fit decreasing. Rows are numbered within a
-    shard from the items' row counts and a window over parts of an item of about SLOT_ROWS rows,
+    shard from the items' row counts and a window over parts of an item of about PART_ROWS rows,
     so no task holds a shard and no group goes to one task.
 
     Returns `id_col, size, text_crc32 (null text: that of the empty one), shard, slot`. A null
@@ -63,12 +63,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     items = [(r["bundle"], None, r["bytes"], r["n"]) for r in sorted(small, key=lambda r: r["bundle"])]
     items += [(BUNDLES + k, r["h"], r["bytes"], r["n"]) for k, r in enumerate(sorted(big, key=lambda r: r["h"]))]
     placed = best_fit_decreasing([(i, b) for i, _, b, _ in items], n_shards)
-    salts = lambda n: min(MAX_SALTS, -(-n // SLOT_ROWS))
+    part_rows = max(PART_ROWS, -(-total[1] // PARTS))
+    salts = lambda n: -(-n // part_rows)
     plan = spark.createDataFrame([(i, h, placed[i], salts(n)) for i, h, _, n in items], "item int, h long, shard int, salts int")
     alone_plan = F.broadcast(plan.where("h is not null").select("h", F.col("item").alias("own")))
     item = F.coalesce("own", F.pmod("h", F.lit(BUNDLES)).cast("int"))
     dealt = rows.join(alone_plan, "h", "left").withColumn("item", item).join(F.broadcast(plan.select("item", "shard", "salts")), "item").withColumn("part", F.pmod(F.xxhash64("id", "h", F.lit(7)), F.col("salts")))
-    # One row for each item and part: at most 3 * BUNDLES items, and rows / SLOT_ROWS parts more.
+    # One row for each item and part: at most 3 * BUNDLES items and PARTS parts more.
     first = dealt.groupBy("shard", "item", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("item", "part").rowsBetween(Window.unboundedPreceding, -1)))
     first = first.select("item", "part", F.coalesce("before", F.lit(0)).alias("before"))
     order = Window.partitionBy("item", "part").orderBy(F.col("id").asc_nulls_last(), "h")
