@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
+
 # The public pre-tokenizer pattern of this vocabulary, and Unicode White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -45,7 +47,7 @@ class ForcedBoundaryBPE:
     unused: the text of a special token gives its id. Decoding keeps special tokens.
     """
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 300_000):
         import regex
         import tiktoken
 
@@ -207,7 +209,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         enc = tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sha, text_sha, ids_out, text_out = [], [], [], [], []
             for ids in enc.encode_batch(batch.column(1).to_pylist()):
                 back = enc.decode_bytes(np.frombuffer(ids, dtype="<u4"))

@@ -9,6 +9,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
+
 # Element names of the HTML standard.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -220,7 +222,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 

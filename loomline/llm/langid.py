@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
+
 #: Hashed dimensions of letter 1- to 3-grams.
 DIMS = 2048
 #: The families of common languages; any other language is its own family.
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, docs_a_language: int = 80
     drawn = known.where(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 20)) < share[F.col("g")] * (1 << 20))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = [(ngrams(t), g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             made = [(v.astype("<f4").tobytes(), g) for v, g in made if v is not None]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in made], pa.binary()), pa.array([g for _, g in made], pa.string())], names=["v", "g"])
@@ -136,7 +138,7 @@ def identify(docs: DataFrame, model: HierarchicalLanguages, id_col: str = "doc_i
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep)) + ", lang_pred string, score double"
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             lang, score = _predict(model, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, *keep, "lang_pred", "score"])
 
@@ -160,7 +162,7 @@ def keep(docs: DataFrame, model: HierarchicalLanguages, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             lang, score = _predict(model, batch.column(at).to_pylist())
             ok = np.array([g != "und" and (langs is None or g in langs) for g in lang], dtype=bool)
             yield batch.filter(pa.array(ok & (score >= least)))

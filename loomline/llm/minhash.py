@@ -137,9 +137,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                sets = shingle_sets(texts[lo : lo + 256], size)
+            for lo in range(0, batch.num_rows, 256):
+                sets = shingle_sets(batch.column(1).slice(lo, 256).to_pylist(), size)
                 sig = np.concatenate([superminhash(sets[k : k + 64]) for k in range(0, len(sets), 64)]) if sets else np.zeros((0, _M), np.uint64)
                 bands = bands_of(sig).view(np.int64)
                 yield pa.RecordBatch.from_arrays([

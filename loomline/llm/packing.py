@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import tokenizer
+from .common import slices
 
 #: Documents packed together; bounds a task's memory whatever the size of the input.
 GROUP_DOCS = 1024
@@ -31,7 +32,7 @@ def tokenise_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, seq_
     def run(batches):
         enc = tokenizer(path)
         tail = int(eos).to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             rows, start, length, crc, total, blocks = [], [], [], [], [], []
             for k, ids in enumerate(enc.encode_batch(batch.column(1).to_pylist())):
                 ids = memoryview(ids + tail)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, slices
 
 #: Statistics of a text, in the order of `statistics`.
 NAMES = ("words", "word_length", "upper", "digits", "symbols", "pauses", "exclaims", "bars", "lines", "distinct", "repeats", "wide", "longest")
@@ -81,7 +81,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=[id_col, "x"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, x array<double>")
@@ -140,7 +140,7 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(NAMES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
