@@ -167,6 +167,11 @@ class ForcedBoundaryBPE:
     def encode_bytes(self, text: str | None) -> bytes:
         return self.encode_batch([text])[0]
 
+    def forget(self) -> None:
+        """Empty the memos, so that a worker that waits for its next task holds no words."""
+        self._after_space.clear()
+        self._chunk.clear()
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4")
 
@@ -225,5 +230,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 cols += [pa.array(ids_out, pa.binary()), pa.array(text_out, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        enc.forget()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, {schema}")

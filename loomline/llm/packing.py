@@ -47,6 +47,7 @@ def tokenise_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, seq_
                     crc.append(zlib.crc32(part))
                     blocks.append(None if m == seq_len else np.array([zlib.crc32(part[i : i + 4 * BLOCK]) for i in range(0, len(part), 4 * BLOCK)], dtype="<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(blocks, pa.binary())], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "blocks"])
+        enc.forget()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {_PIECE}, blocks binary")
 
