@@ -19,6 +19,18 @@ def pivot_count(n: int) -> int:
     return min(4096, max(64, 1 << math.ceil(math.log2(4 * math.sqrt(max(n, 1))))))
 
 
+def thin(sample: np.ndarray, most: float = 0.6) -> np.ndarray:
+    """Of sampled unit vectors, in order, those whose cosine with all kept before is under `most`.
+
+    Without this a dense group would hold many pivots, each of its members would be nearest to
+    others of them, and two members would share too few."""
+    close = sample @ sample.T
+    keep = np.ones(len(sample), bool)
+    for i in range(1, len(sample)):
+        keep[i] = not (keep[:i] & (close[i, :i] >= most)).any()
+    return sample[keep]
+
+
 def describe(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """For each unit vector its `nearest` pivots, nearest first."""
     k = min(nearest, len(pivots))
@@ -84,7 +96,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """Link vectors of cosine `least` or more, in double precision.
 
     Equal vectors are one class. Pivots are a bounded sample of the classes (`pivot_count`,
-    at most 4096, drawn by hash), the only vectors that reach the driver. Every class is indexed
+    at most 4096, drawn by hash, thinned of near ones), the only vectors that reach the driver. Every class is indexed
     under its `nearest` pivots, and pairs that share two of them are verified, in tasks of at
     most two blocks of BLOCK postings: longer lists are split into blocks and all pairs of blocks
     are dealt out, so a list of any length is compared whole. A task gives the links' number and a spanning forest,
@@ -109,6 +121,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     n = reps.count()
     count = pivot_count(n)
     pivots = np.array([r["v"] for r in reps.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(count).select("v").collect()], dtype=float).reshape(-1, max(dims, 1))
+    pivots = thin(pivots)
 
     def index(batches):
         for batch in batches:
