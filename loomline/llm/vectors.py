@@ -23,11 +23,13 @@ def thin(sample: np.ndarray, most: float = 0.6) -> np.ndarray:
     """Of sampled unit vectors, in order, those whose cosine with all kept before is under `most`.
 
     Without this a dense group would hold many pivots, each of its members would be nearest to
-    others of them, and two members would share too few."""
+    others of them, and two members would share too few. Two are kept at least: where all are near
+    the first, every vector has both, and the list of the smaller compares all pairs."""
     close = sample @ sample.T
     keep = np.ones(len(sample), bool)
     for i in range(1, len(sample)):
         keep[i] = not (keep[:i] & (close[i, :i] >= most)).any()
+    keep[1:2] |= keep.sum() < 2
     return sample[keep]
 
 
@@ -96,7 +98,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """Link vectors of cosine `least` or more, in double precision.
 
     Equal vectors are one class. Pivots are a bounded sample of the classes (`pivot_count`,
-    at most 4096, drawn by hash, thinned of near ones), the only vectors that reach the driver. Every class is indexed
+    at most 4096, drawn by hash, thinned of near ones to two at least), the only vectors that reach the driver. Every class is indexed
     under its `nearest` pivots, and pairs that share two of them are verified, in tasks of at
     most two blocks of BLOCK postings: longer lists are split into blocks and all pairs of blocks
     are dealt out, so a list of any length is compared whole. A task gives the links' number and a spanning forest,
@@ -129,11 +131,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             if not len(batch):
                 continue
             perm = describe(x, pivots, nearest)
-            k = perm.shape[1]
-            at = pa.array(np.repeat(np.arange(len(batch)), k))
+            # No pair is verified in the list of a member's largest pivot, so it is not listed there.
+            listed = perm < perm.max(1, keepdims=True)
+            at = pa.array(np.nonzero(listed)[0])
             perms = pa.array([p.tobytes() for p in perm], pa.binary()).take(at)
             raw = pa.array([p.tobytes() for p in x], pa.binary()).take(at)
-            yield pa.RecordBatch.from_arrays([pa.array(perm.ravel(), pa.int32()), batch.column(0).take(at), batch.column(1).take(at), perms, raw], names=["pivot", "rep", "copies", "perm", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(perm[listed], pa.int32()), batch.column(0).take(at), batch.column(1).take(at), perms, raw], names=["pivot", "rep", "copies", "perm", "raw"])
 
     postings = reps.select("rep", "copies", "v").mapInArrow(index, f"pivot int, rep {kind}, copies long, perm binary, raw binary")
     lengths = postings.groupBy("pivot").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).where("count > 1")
