@@ -14,7 +14,9 @@ from .common import slices
 # Element names of the HTML standard.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video textarea select button datalist".split())
+HIDDEN = frozenset("script style noscript template head title iframe object svg canvas audio video textarea select datalist".split())
+#: What may stand in a head; any other element, or text, ends a head whose end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Costs that an enclosing element or a word of its class, id or role adds; positive speaks for content.
 TAG_COST = {"article": 4.0, "main": 3.0, "nav": -9.0, "header": -6.0, "footer": -9.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "fieldset": -4.0, "address": -2.0}
 WORD_COST = {w: -9.0 for w in "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies disqus cookie cookies consent notice gdpr popup modal newsletter subscribe signup login share sharing social related recommended footer header masthead copyright pagination pager widget toolbar skip contentinfo complementary search alert".split()} | {w: 3.0 for w in "article content entry post story main body text".split()}
@@ -44,7 +46,9 @@ def _element_cost(name: str, attributes: str) -> float:
 
 def blocks_of(html: str) -> list[Block]:
     """Blocks in page order. Comments, scripts and other hidden elements give none; unclosed and
-    misnested tags are tolerated: an end tag closes up to its nearest open element, if any."""
+    misnested tags are tolerated: an end tag closes up to its nearest open element, if any; one of
+    an inline element that is not hidden only if that is among the last 8. A head ends at the
+    first element or text that cannot stand in it."""
     out: list[Block] = []
     stack: list[tuple[int, str, float]] = []  # (serial, name, cost of it and all around it)
     parts: list[str] = []
@@ -64,6 +68,8 @@ def blocks_of(html: str) -> list[Block]:
     while at < n:
         m = _TAG.search(html, at)
         end = m.start() if m else n
+        if end > at and stack and stack[-1][1] == "head" and html[at:end].strip():
+            hidden -= stack.pop()[1] in HIDDEN
         if end > at and not hidden:
             parts.append(html[at:end])
             if in_link:
@@ -80,7 +86,7 @@ def blocks_of(html: str) -> list[Block]:
             elif name == "a":
                 in_link = 0
             if any(x == name for _, x, _ in stack):
-                if name not in BLOCK and any(x == name for _, x, _ in stack[-8:]) is False:
+                if name not in BLOCK and name not in HIDDEN and any(x == name for _, x, _ in stack[-8:]) is False:
                     continue
                 while stack:
                     _, x, _ = stack.pop()
@@ -88,6 +94,10 @@ def blocks_of(html: str) -> list[Block]:
                     if x == name:
                         break
             continue
+        if name == "head" and any(x != "html" for _, x, _ in stack):
+            continue  # misplaced: a head stands in nothing but html
+        if stack and (stack[-1][1] == "head" and name not in IN_HEAD or stack[-1][1] == "option" and name in ("option", "optgroup")):
+            hidden -= stack.pop()[1] in HIDDEN
         if name in ("script", "style", "textarea", "title") and not m[3].endswith("/"):  # raw text up to its end tag
             low = low if low is not None else html.lower()
             stop = low.find("</" + name, at)
