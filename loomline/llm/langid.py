@@ -110,14 +110,15 @@ class HierarchicalLanguages:
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, docs_a_language: int = 800, seed: int = 17) -> HierarchicalLanguages:
-    """Fit on a bounded sample: about `docs_a_language` documents of each language, drawn by hash
-    of the text, which is all that reaches the driver. Null texts and languages teach nothing."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
-    counts = {r["g"]: r["n"] for r in known.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    """Fit on a bounded sample: about `docs_a_language` distinct texts of each language, drawn by hash
+    of the text, which is all that reaches the driver. A language with fewer gives all its texts,
+    and copies count once. Null texts and languages teach nothing."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("g")).withColumn("k", F.xxhash64("t", F.lit(seed)))
+    counts = {r["g"]: r["n"] for r in known.select("g", "k").distinct().groupBy("g").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return HierarchicalLanguages(np.zeros((0, DIMS)), [])
     share = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, min(1.0, docs_a_language / n))))
-    drawn = known.where(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 20)) < share[F.col("g")] * (1 << 20))
+    drawn = known.where(F.pmod("k", F.lit(1 << 20)) < share[F.col("g")] * (1 << 20)).dropDuplicates(["g", "k"]).select("t", "g")
 
     def run(batches):
         for batch in slices(batches):
