@@ -10,8 +10,9 @@ from .common import connected_components, cut
 
 #: 32 bands of 5 rows: at a similarity of 0.8 a pair shares no band once in 300,000 times.
 BANDS, ROWS = 32, 5
-#: Members of one block of a bucket; a task compares two blocks at most.
-BLOCK = 1024
+#: Members and shingles of one block of a bucket, about; a task compares two blocks at most, so that
+#: its memory is bounded by both, whatever the length of the texts. A longer text is alone all the same.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 19
 _M = BANDS * ROWS
@@ -131,6 +132,13 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
     return key
 
 
+def _identity(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and two 64-bit sums of each set: equal for equal sets, and 128 bits apart for others."""
+    plain = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+    mixed = np.array([_mix(s + _GOLD).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(plain), pa.array(mixed)]
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """`(id, n, h, g, bands)`: the set's size and identity, and its band keys."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -142,9 +150,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 sig = np.concatenate([superminhash(sets[k : k + 64]) for k in range(0, len(sets), 64)]) if sets else np.zeros((0, _M), np.uint64)
                 bands = bands_of(sig).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)),
-                    pa.array(np.array([_mix(s + _GOLD).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)),
+                    batch.column(0).slice(lo, len(sets)), *_identity(sets),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
                 ], names=["id", "n", "h", "g", "bands"])
 
@@ -165,30 +171,29 @@ def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
-    """`(id, shingles)` of the documents named in `wanted(id)`, and of a few others.
+    """`(c, shingles)` of the classes in `wanted(c, rep, h, g, n)`.
 
-    A bitmap of hashed ids of bounded size picks the documents as they are read, so no text is
-    shuffled; those it picks in vain meet no pair later."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    bitmap, bits = _bitmap(wanted)
+    A bitmap of hashed ids of bounded size picks documents as they are read, so no text is shuffled.
+    What it picks is told apart by its whole set, not by its id: an id that several texts share, and
+    one picked in vain, give the set of each class that is wanted and no other."""
+    bitmap, bits = _bitmap(wanted.select(F.col("rep").alias("id")).distinct())
 
     def run(batches):
         for batch in batches:
-            p = batch.column(2).to_numpy()
+            p = batch.column(1).to_numpy()
             take = np.flatnonzero(bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1)
             for lo in range(0, len(take), 256):
-                own = pa.array(take[lo : lo + 256])
-                sets = shingle_sets(batch.column(1).take(own).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+                sets = shingle_sets(batch.column(0).take(pa.array(take[lo : lo + 256])).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([*_identity(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "h", "g", "shingles"])
 
     at = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(bits))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col), at.alias("p")).mapInArrow(run, f"id {kind}, shingles binary").dropDuplicates(["id"])
+    found = docs.select(F.col(text_col), at.alias("p")).mapInArrow(run, "n long, h long, g long, shingles binary")
+    return found.dropDuplicates(["h", "g", "n"]).join(wanted.select("c", "h", "g", "n"), ["h", "g", "n"]).select("c", "shingles")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The `(u, v)` whose whole sets satisfy 100 * intersection >= percent * union."""
-    kind = pairs.schema["u"].dataType.simpleString()
-    joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    joined = pairs.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("b")), "v")
     most, least = F.greatest(F.length("a"), F.length("b")), F.least(F.length("a"), F.length("b"))
 
     def run(batches):
@@ -200,7 +205,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.where(100 * least >= percent * most).select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+    return joined.where(100 * least >= percent * most).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def link_cell(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -247,41 +252,46 @@ def link_cell(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose sets of `size`-word shingles have a Jaccard similarity of `percent` / 100 or more.
 
-    Equal sets are one class, named by its smallest id. Classes that share a band key are
+    Equal sets are one class, numbered by the checkpoint that holds it. Classes that share a band key are
     candidates. First each is confirmed on the whole sets against the smallest of its bucket, which
     is linear; components of these links follow. Buckets that still hold several components
-    are then compared whole, two blocks of BLOCK members to a task: a task counts all intersections
+    are then compared whole, two blocks of members to a task: a task counts all intersections
     and gives only links that join components, fewer than its members, which are confirmed on the whole sets again.
     So no pairs of what is already linked, and none that fail, are ever emitted, and no bucket is capped.
 
-    Returns `id_col, n_shingles, component_id, kept`. Null and empty texts and texts without a
-    word have an empty set and link with nothing; null ids link with nothing; rows that repeat an
-    id are parts of one name; an empty table gives an empty result; other columns are ignored."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    Returns `id_col, n_shingles, component_id, kept`; component_id is the smallest id of all rows
+    of the component's classes. Null and empty texts and texts without a word have an empty set
+    and link with nothing; null ids link with nothing; rows that repeat an id are documents of
+    their own that bear one name: each links by its own text, and the name joins nothing; an empty
+    table gives an empty result; other columns are ignored."""
     made = cut(sketches(docs, id_col, text_col, size))
     named = made.where("n > 0 and id is not null")
     key = ["h", "g", "n"]
     # Partial minima make one row of each class before the shuffle, however many copies there are.
-    classes = cut(named.groupBy(*key).agg(F.min(F.struct("id", "bands")).alias("m")).select(*key, F.col("m.id").alias("rep"), "m.bands"))
-    postings = classes.select("rep", F.posexplode("bands").alias("_b", "_k")).select(F.xxhash64("_b", "_k").alias("key"), "rep")
-    buckets = cut(postings.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_last"), F.count("*").alias("members")).where("centre <> _last").drop("_last"))
-    members = cut(postings.join(buckets, "key").select("key", "centre", "members", "rep"))
-    sets = cut(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, members.select(F.col("rep").alias("id")).distinct()))
-    pairs = members.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
+    classes = cut(named.groupBy(*key).agg(F.min(F.struct("id", "bands")).alias("m")).select(F.monotonically_increasing_id().alias("c"), *key, F.col("m.id").alias("rep"), "m.bands"))
+    postings = classes.select("c", "n", F.posexplode("bands").alias("_b", "_k")).select(F.xxhash64("_b", "_k").alias("key"), "c", "n")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    buckets = cut(postings.groupBy("key").agg(F.min("c").alias("centre"), F.max("c").alias("_last"), blocks.alias("blocks")).where("centre <> _last").drop("_last"))
+    members = cut(postings.drop("n").join(buckets, "key").select("key", "centre", "blocks", "c"))
+    sets = cut(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, classes.drop("bands").join(members.select("c").distinct(), "c", "left_semi")))
+    pairs = members.where("c <> centre").select(F.col("centre").alias("u"), F.col("c").alias("v")).distinct()
     components = cut(connected_components(_confirm(pairs, sets, percent)))
-    state = cut(members.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("component")))
+    state = cut(members.join(components.withColumnRenamed("id", "c"), "c", "left").select("key", "blocks", "c", F.coalesce("component", "c").alias("component")))
     mixed = cut(state.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a <> _z").select("key"))
-    links = cut(_confirm(_cells(state.join(mixed, "key"), sets, kind, percent).distinct(), sets, percent))
+    links = cut(_confirm(_cells(state.join(mixed, "key"), sets, percent).distinct(), sets, percent))
     if not links.isEmpty():
         # The components so far are a spanning forest of all links confirmed before.
         components = cut(connected_components(links.unionByName(components.select(F.col("id").alias("u"), F.col("component").alias("v")))))
-    per_class = cut(classes.select(*key, "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id")))
+    placed = cut(classes.select("c", *key, "rep").join(components.withColumnRenamed("id", "c"), "c", "left").select(*key, "rep", F.coalesce("component", "c").alias("component")))
+    names = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    per_class = cut(placed.join(names, "component").select(*key, "component_id"))
+    # Null ids and empty sets keep their own id.
     out = made.select("id", *key).join(per_class, key, "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _cells(rows: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Links `(u, v)` that join different components within buckets `(key, members, rep, component)`.
+def _cells(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links `(u, v)` that join different components within buckets `(key, blocks, c, component)`.
 
     A shingle travels as 48 bits of its hash: a link missed for want of the others is less likely
     than one in a thousand million, and one found in vain fails the confirmation that follows."""
@@ -289,15 +299,14 @@ def _cells(rows: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFra
     def shorten(batches):
         for batch in batches:
             short = [np.frombuffer(s, dtype=np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["rep", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["c", "short"])
 
-    rows = rows.join(sets.mapInArrow(shorten, f"rep {kind}, short binary"), "rep")
-    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.mapInArrow(shorten, "c long, short binary"), "c").withColumn("own", F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "component", "short")
+    dealt = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "c", "component", "short")
 
     def compare(key, t):
-        t = t.combine_chunks().sort_by("rep")
+        t = t.combine_chunks().sort_by("c")
         _, group = np.unique(t.column("component").to_numpy(), return_inverse=True)
         sets = []
         for s in t.column("short").to_pylist():
@@ -306,7 +315,7 @@ def _cells(rows: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFra
             sets.append(wide.reshape(-1).view("<u8"))
         side = None if key[1].as_py() == key[2].as_py() else t.column("own").to_numpy()
         found = link_cell(sets, group, side, percent)
-        rep = t.column("rep").combine_chunks()
-        return pa.table([rep.take(pa.array([i for i, _ in found], pa.int64())), rep.take(pa.array([j for _, j in found], pa.int64()))], names=["u", "v"])
+        c = t.column("c").combine_chunks()
+        return pa.table([c.take(pa.array([i for i, _ in found], pa.int64())), c.take(pa.array([j for _, j in found], pa.int64()))], names=["u", "v"])
 
-    return dealt.groupBy("key", "a", "b").applyInArrow(compare, f"u {kind}, v {kind}")
+    return dealt.groupBy("key", "a", "b").applyInArrow(compare, "u long, v long")
