@@ -39,7 +39,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmlcut.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return htmlcut.extract(pages, htmlcut.fit(pages))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
