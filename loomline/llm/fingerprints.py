@@ -14,6 +14,8 @@ It is written as hexadecimal digits, eight for each lane.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 STRONG, SIGNS = 8, 64
@@ -90,25 +92,66 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return sketch(docs.select(F.col(id_col), F.col(text_col).alias("_text")), [id_col], "_text").drop("signs")
 
 
-def successors(docs: DataFrame, id_col: str, text_col: str, width: int = 512, most_buckets: int = 100_000) -> DataFrame:
+#: Children of a node of the tree that ranges are searched through.
+_FAN = 64
+
+
+def range_bounds(keys: DataFrame, rows_a_range: int, most_ranges: int) -> DataFrame:
+    """One row with the sorted lower bounds of ranges of about `rows_a_range` rows, in array `b`, and two
+    thinner levels above them, `a2` and `a1`. `keys(key)` may hold anything that can be ordered.
+
+    Keys drawn by hash, eight a range, are sorted and every eighth is a bound, so a range is as
+    wide as its rows are sparse: none holds many more rows than others, however the ids lie, but
+    for rows of one and the same key. Bounds are at most about `most_ranges`."""
+    n = keys.count()
+    step = max(rows_a_range, -(-n // most_ranges)) // 8
+    drawn = keys.where(F.pmod(F.xxhash64("key", F.lit(23)), F.lit(max(1, step))) == 0).distinct()
+    every = lambda x, k: F.filter(x, lambda _, i: i % k == 0)
+    bounds = drawn.agg(F.sort_array(F.collect_list("key")).alias("b")).select(every(F.col("b"), 8).alias("b"))
+    return bounds.select(F.struct("b", every(F.col("b"), _FAN).alias("a2"), every(F.col("b"), _FAN * _FAN).alias("a1")))
+
+
+def constant(row: DataFrame) -> Column:
+    """The one value of a table of one row and column as a constant of later plans, whatever its type:
+    a session variable, which a plan that is analysed here holds by its value."""
+    spark, name = row.sparkSession, f"loomline_{uuid.uuid4().hex}"
+    row.createOrReplaceTempView(name)
+    try:
+        spark.sql(f"DECLARE VARIABLE {name} {row.schema[0].dataType.simpleString()}")
+        spark.sql(f"SET VAR {name} = (SELECT * FROM {name})")
+    finally:
+        spark.catalog.dropTempView(name)
+    return F.expr(f"session.{name}")
+
+
+def range_of(key: Column, bounds: Column) -> Column:
+    """How many of the bounds are at or under a key, by descent from `a1` through `a2` to `b`."""
+    under = lambda x: F.size(F.filter(x, lambda y: y <= key))
+    after = lambda above: F.greatest((above - 1) * _FAN, F.lit(0))
+    first = under(bounds["a1"])
+    second = after(first) + under(F.slice(bounds["a2"], after(first) + 1, _FAN))
+    return after(second) + under(F.slice(bounds["b"], after(second) + 1, _FAN))
+
+
+def successors(docs: DataFrame, id_col: str, text_col: str, rows_a_range: int = 256, most_ranges: int = 100_000) -> DataFrame:
     """Each document with the text of the next by descending id; after the last comes the first.
 
-    Returns `bucket, rank, ghost, id_col, text_col, next_text`. Ids are cut into ranges of at least
-    `width` ids and at most `most_buckets` ranges; the largest document of a range also goes to the next higher
-    range, as a ghost behind its last row, so one shuffle of the texts by range suffices and no
-    task holds more than a range. Rows that repeat an id are ordered by their text's hash; null
-    ids come last."""
-    ends = docs.agg(F.min(id_col).cast("long"), F.max(id_col).cast("long")).first()
-    low, high = (ends[0] - 1, ends[1]) if ends[0] is not None else (0, 0)
-    width = max(width, -(-(high - low + 1) // most_buckets))
-    at = F.coalesce(F.col(id_col).cast("long"), F.lit(low))
-    rows = docs.select(F.col(id_col), F.col(text_col), at.alias("_at"), F.floor((at - low) / F.lit(width)).cast("long").alias("_own"))
-    # At most `most_buckets` rows from here to the broadcast.
-    tops = docs.select(at.alias("_at")).groupBy(F.floor((F.col("_at") - low) / F.lit(width)).cast("long").alias("_b")).agg(F.max("_at").alias("_at"))
-    order = Window.orderBy("_b")
-    tops = tops.select("_at", F.coalesce(F.lead("_b").over(order), F.first("_b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_up"))
-    placed = rows.join(F.broadcast(tops), "_at", "left").select("*", F.posexplode(F.when(F.col("_up").isNull(), F.array("_own")).otherwise(F.array("_own", "_up"))).alias("_copy", "bucket")).withColumn("ghost", F.col("_copy") == 1)
-    by = Window.partitionBy("bucket").orderBy("ghost", F.col("_at").desc(), F.xxhash64(text_col))
+    Returns `bucket, rank, ghost, id_col, text_col, next_text`. Documents are cut by id and text hash into
+    ranges of near equal numbers of rows (`range_bounds`), whatever the type of the id and wherever ids lie; the
+    largest document of a range also goes to the next higher range, as a ghost behind its last row, so
+    one shuffle of the texts by range suffices and no task holds more than a range. Rows that repeat
+    an id are ordered by their text's hash; null ids come last."""
+    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    bounds = constant(range_bounds(docs.select(key.alias("key")), rows_a_range, most_ranges))  # at most about `most_ranges` keys
+    ranged = lambda rows: rows.withColumn("_own", range_of(F.col("_key"), bounds))
+    rows = ranged(docs.select(F.col(id_col), F.col(text_col), key.alias("_key")))
+    # One row for each range from here to the broadcast.
+    tops = ranged(docs.select(key.alias("_key"))).groupBy("_own").agg(F.max("_key").alias("_top"))
+    order = Window.orderBy("_own")
+    tops = tops.select("_own", "_top", F.coalesce(F.lead("_own").over(order), F.first("_own").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_up"))
+    up = F.when(F.col("_key").eqNullSafe(F.col("_top")), F.array("_own", "_up")).otherwise(F.array("_own"))
+    placed = rows.join(F.broadcast(tops), "_own").select("*", F.posexplode(up).alias("_copy", "bucket")).withColumn("ghost", F.col("_copy") == 1)
+    by = Window.partitionBy("bucket").orderBy("ghost", F.col("_key").desc())
     return placed.select("bucket", F.row_number().over(by).alias("rank"), "ghost", id_col, text_col, F.lead(text_col).over(by).alias("next_text"))
 
 
