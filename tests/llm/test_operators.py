@@ -158,6 +158,24 @@ def test_sharding_operator(spark, docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in texts.values())
 
 
+def test_sharding_balances_a_table(spark):
+    """Many sizes, groups of copies, sizes split over shards, one row repeated often: whole groups, gapless slots, even bytes."""
+    rng = random.Random(4)
+    made = [(i, "x" * rng.choice([3, 3, 3, rng.randint(1, 900)]) + str(i % 1500), "en") for i in range(3000)]
+    made += [(5000 + i, "a hot copy " * 20, "en") for i in range(100)] + [(9, "the same row", "en")] * 1500
+    got = sharding.shard(table(spark, made), n_shards=8).collect()
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == sorted((i, len(t) + 1, zlib.crc32(t.encode())) for i, t, _ in made)
+    slots, loads, homes = {}, {}, {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        loads[r.shard] = loads.get(r.shard, 0) + r["size"]
+        homes.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(h) == 1 for h in homes.values())
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 0.01 * sum(loads.values()) / 8
+    again = sharding.shard(table(spark, made).repartition(5), n_shards=8).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
 def test_fingerprints(spark, docs, rows):
     got = fingerprints.edits(docs).collect()
     order = sorted(((i, t or "") for i, t, _ in rows if i is not None), key=lambda x: -x[0])

@@ -73,17 +73,53 @@ def test_crc_of_joined_parts():
     assert packing._crc_append(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
+def brute_best_fit(sizes, n_bins):
+    """One item at a time over a plain list of capacities."""
+    queue, rest, bins, loads, k = sorted(sizes, reverse=True), sum(sizes), n_bins, [0] * n_bins, 0
+    while bins > 1 and k < len(queue) and queue[k] * bins >= rest:
+        bins -= 1
+        loads[bins], rest, k = queue[k], rest - queue[k], k + 1
+    room = [-(-rest // bins)] * bins
+    for size in queue[k:]:
+        fits = [(r, b) for b, r in enumerate(room) if r >= size]
+        b = min(fits)[1] if fits else max((r, b) for b, r in enumerate(room))[1]
+        room[b] -= size
+        loads[b] += size
+    return loads
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=60), st.integers(1, 7))
+def test_best_fit_decreasing_by_runs_is_that_by_items(sizes, n_bins):
+    counts = {s: sizes.count(s) for s in sizes}
+    loads = [0] * n_bins
+    for size, dealt in sharding.best_fit_decreasing(list(counts.items()), n_bins):
+        assert sum(k for _, k in dealt) == counts[size]
+        for b, k in dealt:
+            loads[b] += size * k
+    assert loads == brute_best_fit(sizes, n_bins)
+
+
 def test_best_fit_decreasing_is_even():
-    rng = random.Random(2)
-    sizes = [(i, rng.randint(1, 1000)) for i in range(5000)]
-    out = sharding.best_fit_decreasing(sizes, 16)
-    load = [0] * 16
-    for i, s in sizes:
-        load[out[i]] += s
-    assert len(out) == 5000 and max(load) - min(load) <= 1000
-    giant = sharding.best_fit_decreasing([(0, 10_000), *((i, 10) for i in range(1, 301))], 4)
-    rest = [sum(10 for i in range(1, 301) if giant[i] == b) for b in range(4)]
-    assert sorted(rest) == [0, 1000, 1000, 1000] and rest[giant[0]] == 0
+    sizes = [random.Random(3).randint(1, 5000) for _ in range(4000)]
+    loads = brute_best_fit(sizes, 16)
+    assert max(loads) - min(loads) <= 100
+    assert max(brute_best_fit([10_000, *[10] * 300], 4)) == 10_000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=80), st.lists(st.integers(0, 45), max_size=20))
+def test_capacity_tree_is_a_balanced_ordered_set(keys, asked):
+    tree, held = None, []
+    for n, k in enumerate(keys):
+        tree, held = sharding.insert(tree, (k, n)), sorted([*held, (k, n)])
+        if n % 3 == 2:
+            gone = held[(k * 7) % len(held)]
+            tree, held = sharding.remove(tree, gone), [x for x in held if x != gone]
+    for a in asked:
+        assert sharding.ceiling(tree, (a, -1)) == min((x for x in held if x >= (a, -1)), default=None)
+    if held:
+        assert sharding.largest(tree) == held[-1] and tree[3] <= 1.45 * np.log2(len(held) + 2)
 
 
 def brute_sets(text, k):
