@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,30 +27,35 @@ def _crc_append(crc: int, other: int, n_bytes: int) -> int:
 
 def tokenise_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, seq_len: int, eos: int) -> DataFrame:
     """One row per piece of at most `seq_len` tokens, with its checksum and, for the last short piece,
-    the checksums of its blocks. The ids themselves go no further, so what is shuffled is small."""
+    the checksums of its blocks. The ids themselves go no further, so what is shuffled is small.
+    `again` counts rows of the same id and text before a row in its record batch."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         enc = tokenizer(path)
         tail = int(eos).to_bytes(4, "little")
-        for batch in slices(batches):
-            rows, start, length, crc, total, blocks = [], [], [], [], [], []
+        for batch, seen in ((part, seen) for whole, seen in ((b, Counter()) for b in batches) for part in slices([whole])):
+            rows, start, length, crc, total, blocks, again = [], [], [], [], [], [], []
+            names = batch.column(0).to_pylist()
             for k, ids in enumerate(enc.encode_batch(batch.column(1).to_pylist())):
                 ids = memoryview(ids + tail)
                 n = len(ids) // 4
+                own = names[k], n, zlib.crc32(ids)
+                seen[own] += 1
                 for s in range(0, n, seq_len):
                     m = min(seq_len, n - s)
                     part = ids[4 * s : 4 * (s + m)]
                     rows.append(k)
                     start.append(s)
                     length.append(m)
+                    again.append(seen[own] - 1)
                     total.append(n)
                     crc.append(zlib.crc32(part))
                     blocks.append(None if m == seq_len else np.array([zlib.crc32(part[i : i + 4 * BLOCK]) for i in range(0, len(part), 4 * BLOCK)], dtype="<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(blocks, pa.binary())], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(blocks, pa.binary()), pa.array(again, pa.int32())], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "blocks", "again"])
         enc.forget()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {_PIECE}, blocks binary")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {_PIECE}, blocks binary, again int")
 
 
 def assign(lengths: np.ndarray, seq_len: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
@@ -108,7 +114,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     null ids are kept; an empty table gives an empty result; other columns are ignored."""
     pieces = tokenise_pieces(docs, path, id_col, text_col, seq_len, eos)
     groups = max(1, -(-docs.count() // GROUP_DOCS))
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64(id_col, "doc_tokens", F.when(F.col(id_col).isNull(), F.col("ids_crc32"))), F.lit(groups)))
+    # Rows that repeat id and text would all meet in one group but for their task and place in it.
+    salt = F.when(F.col("again") > 0, F.xxhash64(F.spark_partition_id(), "again"))
+    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64(id_col, "doc_tokens", "start", "ids_crc32", salt), F.lit(groups))).drop("again")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(key, rows):

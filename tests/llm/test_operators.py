@@ -148,6 +148,19 @@ def test_packing_operator(spark, docs, rows):
         assert [o for o, _ in own] == np.cumsum([0] + [n for _, n in own])[:-1].tolist() and sum(n for _, n in own) <= 128
 
 
+def test_packing_splits_rows_that_repeat(spark, monkeypatch):
+    """One id and text in all rows: its pieces are spread over the groups, and every row is packed."""
+    monkeypatch.setattr(packing, "GROUP_DOCS", 32)
+    text = prose(30)
+    got = packing.pack(table(spark, [(7, text, "en")] * 640), PATH, seq_len=256).collect()
+    n = got[0].doc_tokens
+    assert sum(r.length for r in got) == 640 * n and {r.doc_id for r in got} == {7}
+    groups = {}
+    for r in got:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + r.length
+    assert len(groups) > 15 and max(groups.values()) < 100 * n
+
+
 def test_sharding_operator(spark, docs, rows):
     got = sharding.shard(docs).collect()
     assert len(got) == len(rows)
