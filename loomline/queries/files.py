@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 import pyspark.sql.types as T
@@ -12,22 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from loomline.functions import envelopes, text as tx
 from loomline.operators import intervals as iv
 from loomline.plans import workers
+from loomline.session import scratch
 from loomline.sources import motion_file, subtitles as st, tables as tb
 from loomline.sources.tables import HOUR, with_sql
 
 from . import query
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: beside the checkpoints, or a temporary one in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"loomline-{name}-")
-
-
 @query(with_sql("subtitles") + "SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY s, e, ord) AS number, s % 86400000 AS s, e % 86400000 AS e, coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), '/'), '') AS lines FROM subtitles")
 def sc2_sk2_srt_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Subtitles written as SRT, one text a conversation, and read back."""

@@ -5,12 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomline.session import scratch
 from loomline.sources import tables as tb
 from loomline.sources.tables import HOUR, with_sql
 from loomline.streaming import folder, voice
 
 from . import query
-from .files import scratch
 
 
 def _probabilities(df: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Making the package importable on executors."""
+"""Making the package importable on executors, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,30 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary one of this machine
+    stands in, on a local master alone: elsewhere executors wouldn't see it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "loomline-shared")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, deleted with all it holds when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path)  # what isn't there yet can't be marked
+    files.deleteOnExit(jvm_path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
