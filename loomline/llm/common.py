@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomline.session import ship_package
+from loomline.session import scratch, shared_folder, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,22 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     Executors may be lost at any time: the files are in shared storage, so nothing before this
     point is computed again. A folder is set only where the session names none (tests)."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "loomline-checkpoints")
-
-
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """Cut the lineage with a Parquet table in the shared folder: compressed, and read by column, which
-    suits whole texts better than a checkpoint."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    suits whole texts better than a checkpoint. Returns it with its path, for `discard`; what is not
+    discarded goes when the driver ends."""
+    path = f"{scratch(df.sparkSession, 'stored')}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def held_out(doc_id) -> F.Column:

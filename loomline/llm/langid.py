@@ -6,9 +6,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import slices
+from .common import cut, slices
 
 #: Hashed dimensions of letter 1- to 3-grams.
 DIMS = 2048
@@ -54,33 +54,47 @@ def ngrams(text: str | None) -> np.ndarray | None:
     return out / np.linalg.norm(out)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM with squared hinge loss and balanced classes (y: +1, -1)."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w = v = np.zeros(x.shape[1])
-    step = 1 / (4 + penalty)
-    for t in range(1, rounds + 1):
+def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300, settled: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear SVM with squared hinge loss and balanced classes (y: +1, -1).
+
+    Accelerated gradient steps, started afresh where they turn uphill, until none moves a weight by
+    `settled` of the largest, or `rounds` are done."""
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    w = v = np.zeros(x.shape[1], dtype=np.float32)
+    step, t = np.float32(1 / (4 + penalty)), 1
+    for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (penalty * v - 2 * x.T @ (weight * y * slack))
-        v, w = new + (t - 1) / (t + 2) * (new - w), new
-    return w[:-1], float(w[-1])
+        new = v - step * (np.float32(penalty) * v - 2 * (weight * y * slack) @ x)
+        moved = new - w
+        t = 1 if (v - new) @ moved > 0 else t + 1
+        v, w = new + np.float32((t - 1) / (t + 2)) * moved, new
+        if np.abs(moved).max() <= settled * np.abs(w).max():
+            break
+    return w[:-1].astype(float), float(w[-1])
 
 
 class HierarchicalLanguages:
-    """Family by one-versus-rest SVMs, then the language by votes of one-versus-one SVMs."""
+    """Family by one-versus-rest SVMs (one, where there are two), then the language by votes of
+    one-versus-one SVMs. `solve` maps the problems `(rows or None for all, y)` to their solutions."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], solve=None):
         family = np.array([_FAMILY.get(g, g) for g in langs])
         lang = np.array(langs)
         self.families = sorted(set(family.tolist()))
         self.members = {f: sorted(set(lang[family == f].tolist())) for f in self.families}
-        self.family = [linear_svm(x, np.where(family == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
-        self.pairs = {}
-        for f in self.families:
-            for a, b in combinations(self.members[f], 2):
-                own = (lang == a) | (lang == b)
-                self.pairs[a, b] = linear_svm(x[own], np.where(lang[own] == a, 1.0, -1.0))
+        rest = self.families[:1] if len(self.families) == 2 else self.families if len(self.families) > 2 else []
+        problems = [(None, np.where(family == f, 1.0, -1.0)) for f in rest]
+        names = [pair for f in self.families for pair in combinations(self.members[f], 2)]
+        for a, b in names:
+            own = np.flatnonzero((lang == a) | (lang == b))
+            problems.append((own, np.where(lang[own] == a, 1.0, -1.0)))
+        solved = solve(problems) if solve and problems else [linear_svm(x if own is None else x[own], y) for own, y in problems]
+        self.family = solved[: len(rest)]
+        if len(rest) == 1:
+            self.family.append((-self.family[0][0], -self.family[0][1]))
+        self.pairs = dict(zip(names, solved[len(rest) :]))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score in 0..1 of each row: the family's share times the language's."""
@@ -109,25 +123,62 @@ class HierarchicalLanguages:
         return out.tolist(), np.clip(score, 0, 1)
 
 
-def fit(docs: DataFrame, text_col: str, lang_col: str, docs_a_language: int = 800, seed: int = 17) -> HierarchicalLanguages:
-    """Fit on a bounded sample: about `docs_a_language` distinct texts of each language, drawn by hash
-    of the text, which is all that reaches the driver. A language with fewer gives all its texts,
-    and copies count once. Null texts and languages teach nothing."""
+#: Texts of all languages that the models are fitted on at most, and languages among them.
+SAMPLE, LANGUAGES = 16384, 64
+
+
+def _draw(docs: DataFrame, text_col: str, lang_col: str, docs_a_language: int, seed: int) -> list[tuple[bytes, str]]:
+    """Vectors and languages of the sample, in one fixed order."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("g")).withColumn("k", F.xxhash64("t", F.lit(seed)))
-    counts = {r["g"]: r["n"] for r in known.select("g", "k").distinct().groupBy("g").agg(F.count("*").alias("n")).collect()}
+    hashes = cut(known.select("g", "k").distinct())
+    counts = {r["g"]: r["n"] for r in hashes.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(LANGUAGES).collect()}
     if not counts:
-        return HierarchicalLanguages(np.zeros((0, DIMS)), [])
-    share = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, min(1.0, docs_a_language / n))))
-    drawn = known.where(F.pmod("k", F.lit(1 << 20)) < share[F.col("g")] * (1 << 20)).dropDuplicates(["g", "k"]).select("t", "g")
+        return []
+    each = min(docs_a_language, SAMPLE // len(counts))
+    # Of each language some four times as many as wanted lie under a bound on their hash's low bits; the
+    # smallest of these are taken, so that few are ranked, whatever the number of texts.
+    bound = F.create_map(*(F.lit(v) for g, n in counts.items() for v in (g, min(1 << 20, (4 * each + 64) * (1 << 20) // n + 1))))
+    low = F.pmod("k", F.lit(1 << 20))
+    ranked = hashes.where(low < bound[F.col("g")]).withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(low, "k")))
+    chosen = ranked.where(F.col("r") <= each).select("g", "k")
 
     def run(batches):
+        seen = set()
         for batch in slices(batches):
-            made = [(ngrams(t), g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            made = [(v.astype("<f4").tobytes(), g) for v, g in made if v is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in made], pa.binary()), pa.array([g for _, g in made], pa.string())], names=["v", "g"])
+            made = []
+            for t, g, k in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (g, k) not in seen:
+                    seen.add((g, k))
+                    made.append((ngrams(t), g, k))
+            made = [(v.astype("<f4").tobytes(), g, k) for v, g, k in made if v is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.string()), pa.array([x[2] for x in made], pa.int64())], names=["v", "g", "k"])
+
+    # At most SAMPLE rows are broadcast, and as many come back.
+    drawn = known.join(F.broadcast(chosen), ["g", "k"]).select("t", "g", "k").mapInArrow(run, "v binary, g string, k long").dropDuplicates(["g", "k"])
+    return sorted((bytes(r["v"]), r["g"]) for r in drawn.select("v", "g").collect())
 
-    rows = sorted(map(tuple, drawn.mapInArrow(run, "v binary, g string").collect()))
-    return HierarchicalLanguages(np.array([np.frombuffer(v, dtype="<f4") for v, _ in rows], dtype=float).reshape(-1, DIMS), [g for _, g in rows])
+
+def fit(docs: DataFrame, text_col: str, lang_col: str, docs_a_language: int = 800, seed: int = 17) -> HierarchicalLanguages:
+    """Fit on a bounded sample: the `docs_a_language` distinct texts of each language with the smallest
+    seeded hashes, at most SAMPLE in all and of the LANGUAGES with the most texts. A language with fewer
+    gives all its texts, and copies count once, however many there are. Null texts and languages teach
+    nothing. The SVMs are fitted in parallel, a task each; their vectors alone come back."""
+    spark = docs.sparkSession
+    rows = _draw(docs, text_col, lang_col, docs_a_language, seed)
+    x = np.array([np.frombuffer(v, dtype="<f4") for v, _ in rows], dtype=np.float32).reshape(-1, DIMS)
+
+    def solve(problems):
+        def run(batches):
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    own, y = problems[i]
+                    w, b = linear_svm(x if own is None else x[own], y)
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["i", "w", "b"])
+
+        found = sorted(spark.range(0, len(problems), 1, len(problems)).mapInArrow(run, "i long, w binary, b double").collect())
+        return [(np.frombuffer(r["w"]), r["b"]) for r in found]
+
+    return HierarchicalLanguages(x, [g for _, g in rows], solve)
 
 
 def identify(docs: DataFrame, model: HierarchicalLanguages, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
