@@ -140,21 +140,21 @@ def _identity(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """`(id, n, h, g, bands)`: the set's size and identity, and its band keys."""
+    """`(id, text_hash, n, h, g, bands)`: the set's size and identity, and its band keys."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                sets = shingle_sets(batch.column(1).slice(lo, 256).to_pylist(), size)
+                sets = shingle_sets(batch.column(2).slice(lo, 256).to_pylist(), size)
                 sig = np.concatenate([superminhash(sets[k : k + 64]) for k in range(0, len(sets), 64)]) if sets else np.zeros((0, _M), np.uint64)
                 bands = bands_of(sig).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, len(sets)), *_identity(sets),
+                    batch.column(0).slice(lo, len(sets)), batch.column(1).slice(lo, len(sets)), *_identity(sets),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
-                ], names=["id", "n", "h", "g", "bands"])
+                ], names=["id", "text_hash", "n", "h", "g", "bands"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, h long, g long, bands array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col)).mapInArrow(run, f"id {kind}, text_hash long, n long, h long, g long, bands array<bigint>")
 
 
 def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and gives only links that join components, fewer than its members, which are confirmed on the whole sets again.
     So no pairs of what is already linked, and none that fail, are ever emitted, and no bucket is capped.
 
-    Returns `id_col, n_shingles, component_id, kept`; component_id is the smallest id of all rows
+    Returns `id_col, n_shingles, component_id, kept, text_hash` (Spark's xxhash64, which tells rows of
+    one id apart); component_id is the smallest id of all rows
     of the component's classes. Null and empty texts and texts without a word have an empty set
     and link with nothing; null ids link with nothing; rows that repeat an id are documents of
     their own that bear one name: each links by its own text, and the name joins nothing; an empty
@@ -286,8 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     per_class = cut(placed.join(names, "component").select(*key, "component_id"))
     # Null ids and empty sets keep their own id.
-    out = made.select("id", *key).join(per_class, key, "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = made.select("id", "text_hash", *key).join(per_class, key, "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
 
 
 def _cells(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

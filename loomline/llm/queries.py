@@ -54,7 +54,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("text_hash")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
