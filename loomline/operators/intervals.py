@@ -19,18 +19,23 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], l: tuple[str,
     """Pairs that overlap strictly: `l.s < r.e and l.e > r.s`, each once.
 
     Both sides are exploded over buckets; a pair is taken in the first bucket that both touch.
-    Column names of the two sides must differ but for `by`. `how`: inner or left."""
-    lb = left.withColumn("_lf", F.floor(F.col(l[0]) / F.lit(width)).cast("long")).withColumn("_b", F.explode(buckets(F.col(l[0]), F.col(l[1]), width)))
+    Column names of the two sides must differ but for `by`. `how`: inner or left. A left join is one
+    outer join of the buckets: a row that meets nothing in any of its buckets, which a window over
+    rows of equal columns tells, is given once, from its first bucket."""
+    same = F.array(*(F.xxhash64(F.lit(seed), *(F.struct(F.col(c).isNull(), F.col(c)) for c in left.columns)) for seed in (0, 1)))
+    lb = left.withColumn("_id", same) if how == "left" else left
+    lb = lb.withColumn("_lf", F.floor(F.col(l[0]) / F.lit(width)).cast("long")).withColumn("_b", F.explode(buckets(F.col(l[0]), F.col(l[1]), width)) if how == "inner" else F.explode_outer(buckets(F.col(l[0]), F.col(l[1]), width)))
     rb = right.withColumn("_rf", F.floor(F.col(r[0]) / F.lit(width)).cast("long")).withColumn("_b", F.explode(buckets(F.col(r[0]), F.col(r[1]), width)))
-    hit = lb.join(rb, [*by, "_b"]).where((F.col(l[0]) < F.col(r[1])) & (F.col(l[1]) > F.col(r[0])) & (F.col("_b") == F.greatest("_lf", "_rf"))).drop("_b", "_lf", "_rf")
     if how == "inner":
-        return hit
-    met = hit.select(*(F.col(c).alias(f"_m{i}") for i, c in enumerate(left.columns))).distinct()
-    same = F.lit(True)
-    for i, c in enumerate(left.columns):  # null-safe, so that rows with nulls are told apart too
-        same = same & F.col(c).eqNullSafe(F.col(f"_m{i}"))
-    missing = left.join(met, same, "left_anti")
-    return hit.unionByName(missing, allowMissingColumns=True)
+        return lb.join(rb, [*by, "_b"]).where((F.col(l[0]) < F.col(r[1])) & (F.col(l[1]) > F.col(r[0])) & (F.col("_b") == F.greatest("_lf", "_rf"))).drop("_b", "_lf", "_rf")
+    extra = [c for c in right.columns if c not in by]
+    rb = rb.select(*extra, "_rf", F.col("_b").alias("_rb"), *(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)))
+    meets = (F.col("_b") == F.col("_rb")) & (F.col(l[0]) < F.col(r[1])) & (F.col(l[1]) > F.col(r[0])) & (F.col("_b") == F.greatest("_lf", "_rf"))
+    for i, c in enumerate(by):
+        meets = meets & (F.col(c) == F.col(f"_by{i}"))
+    joined = lb.join(rb, meets, "left").withColumn("_any", F.max(F.col("_rf").isNotNull()).over(Window.partitionBy("_id")))
+    kept = joined.where(F.col("_rf").isNotNull() | (~F.col("_any") & (F.col("_b").isNull() | (F.col("_b") == F.col("_lf")))))
+    return kept.select(*left.columns, *extra)
 
 
 def point_join(points: DataFrame, spans: DataFrame, by: list[str], t: str, span: tuple[str, str], order: str, width: int, closed_end: bool = False, disjoint: bool = False) -> DataFrame:
@@ -112,15 +117,14 @@ def nearest(probes: DataFrame, starts: DataFrame, by: list[str], t: str, s: str,
     return hit.groupBy(*probes.columns).agg(best.alias("_m")).select(*probes.columns, F.col("_m._s").alias("matched"), F.col("_m._d").alias("distance"))
 
 
-def sweep(blocks: DataFrame, by: list[str], s: str, e: str, order: str, value: str) -> DataFrame:
+def sweep(blocks: DataFrame, by: list[str], s: str, e: str, order: str, value: str, width: int) -> DataFrame:
     """Elementary stretches between all boundaries, each with the longest covering interval.
 
-    Ties go to the earliest start, then `order`; zero-length intervals are dropped. Returns
+    `width` is that of the buckets, best near the typical interval length. Ties go to the earliest start, then `order`; zero-length intervals are dropped. Returns
     `by, s, e, value`, only covered stretches."""
     solid = blocks.where(F.col(e) > F.col(s))
     marks = solid.select(*by, F.col(s).alias("_t")).unionByName(solid.select(*by, F.col(e).alias("_t"))).distinct()
     steps = marks.withColumn("_u", F.lead("_t").over(Window.partitionBy(*by).orderBy("_t"))).where("_u is not null")
-    span = solid.agg(F.expr(f"percentile_approx({e} - {s}, 0.5)")).first()[0] or 1
-    hit = overlap_join(steps, solid.select(*by, F.col(s).alias("_bs"), F.col(e).alias("_be"), F.col(order).alias("_bo"), F.col(value).alias("_bv")), by, ("_t", "_u"), ("_bs", "_be"), max(1, int(span)))
+    hit = overlap_join(steps, solid.select(*by, F.col(s).alias("_bs"), F.col(e).alias("_be"), F.col(order).alias("_bo"), F.col(value).alias("_bv")), by, ("_t", "_u"), ("_bs", "_be"), width)
     best = F.max_by("_bv", F.struct(F.col("_be") - F.col("_bs"), -F.col("_bs"), -F.col("_bo")))
     return hit.groupBy(*by, "_t", "_u").agg(best.alias(value)).select(*by, F.col("_t").alias(s), F.col("_u").alias(e), value)

@@ -124,3 +124,19 @@ def context_points(df: DataFrame, by: list[str], s: str, e: str, short: int, lon
     n = F.expr(f"cast(_g div {long} as int)")
     points = F.when(F.col("_g") < long, F.array(F.expr("_s + _g div 2"))).otherwise(F.transform(F.sequence(F.lit(0), n), lambda i: F.col("_s") + F.expr("0L") + (F.col("_g") * i / n).cast("long")))
     return gaps.select(*by, F.explode(points).alias("t"))
+
+
+def prefix_sum(df: DataFrame, by: list[str], order: str, value: str, out: str, width: int = 4096) -> DataFrame:
+    """Adds `out`, the sum of `value` over rows before a row by the whole number `order` within `by`.
+
+    In two levels, so that no task holds all rows of a key: sums of ranges of `width` first, which
+    alone are windowed by key, then rows within their range. Ties in `order` have no defined turn."""
+    parts = df.withColumn("_part", F.floor(F.col(order) / F.lit(width)).cast("long"))
+    sums = parts.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.unboundedPreceding, -1
+    sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(*before))).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_part"])), "_before")
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_part"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(*before))
+    return parts.withColumn("_inside", inside).join(sums, same).select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0))).alias(out))

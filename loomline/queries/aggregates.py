@@ -102,10 +102,10 @@ def ag16_single_choice(spark: SparkSession, d: str) -> DataFrame:
     return g.select("script", "day", F.when((F.col("a") == F.col("b")) & (F.col("n") == F.col("m")), F.col("a")).alias("only_kind"))
 
 
-@query(with_sql("actions") + "SELECT t // 3600000 AS hour, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) AS members FROM actions GROUP BY 1")
+@query(with_sql("actions") + "SELECT script, t // 3600000 AS hour, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) AS members FROM actions GROUP BY ALL")
 def ag18_group_by_time(spark: SparkSession, d: str) -> DataFrame:
-    """Members of each hour, in order."""
-    return tb.actions(spark, d).groupBy(F.expr(f"t div {HOUR}").alias("hour")).agg(ag.joined(F.col("ord").cast("string"), ["ord"], ",").alias("members"))
+    """Members of each hour of a script, in order."""
+    return tb.actions(spark, d).groupBy("script", F.expr(f"t div {HOUR}").alias("hour")).agg(ag.joined(F.col("ord").cast("string"), ["ord"], ",").alias("members"))
 
 
 _STAR = "SELECT r_name, n_name, p_brand, 3 - grouping(r_name) - grouping(n_name) - grouping(p_brand) AS depth, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'F' AND l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY ROLLUP (r_name, n_name, p_brand)"

@@ -8,7 +8,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomline.functions import envelopes, text as tx
-from loomline.operators import intervals as iv
+from loomline.operators import intervals as iv, islands as il
 from loomline.plans import workers
 from loomline.session import scratch
 from loomline.sources import motion_file, subtitles as st, tables as tb
@@ -45,8 +45,8 @@ def sc13_sk4_metadata_text(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id AS part, n_chars AS duration, CAST(coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ FROM documents")
 def sc10_part_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Start of each part of a concatenation."""
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return tb.table(spark, d, "documents").select(F.col("doc_id").alias("part"), F.col("n_chars").alias("duration"), F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("start_"))
+    parts = il.prefix_sum(tb.table(spark, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], "doc_id", "n_chars", "start_")
+    return parts.select(F.col("doc_id").alias("part"), F.col("n_chars").alias("duration"), "start_")
 
 
 @query(with_sql("timings") + "SELECT t.script, t.ord, t.s + p * 1000 AS s, least(t.e + p * 1000, (p + 1) * 86400000) AS e FROM (SELECT *, s // 86400000 AS p FROM timings) t")

@@ -239,4 +239,4 @@ def j21_two_sided_matches(spark: SparkSession, d: str) -> DataFrame:
 def ws11_sweep_longest_wins(spark: SparkSession, d: str) -> DataFrame:
     """Elementary stretches, each with the longest covering interval's value."""
     b = tb.timings(spark, d).select("script", "ord", "s", (F.col("e") + HOUR * (F.col("k") % 3)).alias("e"), "k", (F.col("e") > F.col("s")).alias("_ok")).where("_ok").drop("_ok")
-    return iv.sweep(b, ["script"], "s", "e", "ord", "k")
+    return iv.sweep(b, ["script"], "s", "e", "ord", "k", 2 * HOUR)

@@ -59,15 +59,21 @@ def sk11_soft_delete(spark: SparkSession, d: str) -> DataFrame:
     return tb.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("."), F.substring(F.sha2("text", 256), 1, 12)).alias("moved"))
 
 
-@query(with_sql("actions") + ", w AS (SELECT script, ord AS i, pos, lead(pos) OVER w AS p1, lead(pos, 2) OVER w AS p2 FROM actions WINDOW w AS (PARTITION BY script ORDER BY ord)), e AS (SELECT a.script, a.i, b.i AS j, abs(a.pos - b.pos) + abs(a.p1 - b.p1) + abs(a.p2 - b.p2) AS error FROM w a JOIN w b ON b.script = a.script + 1 WHERE a.p2 IS NOT NULL AND b.p2 IS NOT NULL) SELECT script, min(error) AS error, arg_min(i, {'a': error, 'b': i, 'c': j}) AS i, arg_min(j, {'a': error, 'b': i, 'c': j}) AS j FROM e GROUP BY script")
+_RISES = "w AS (SELECT script, t // 86400000 AS day, row_number() OVER w AS i, pos, pos - lag(pos, 1, pos) OVER w AS rise, list(pos) OVER (PARTITION BY script ORDER BY ord ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v, count(*) OVER (PARTITION BY script) AS n FROM actions WINDOW w AS (PARTITION BY script ORDER BY ord)), peaks AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY script, day ORDER BY rise DESC, i) <= 3), full_ AS (FROM peaks WHERE len(v) = 16)"
+
+
+@query(with_sql("actions") + f", {_RISES}, e AS (SELECT a.script, a.i, b.i AS j, list_sum(list_transform(range(1, 17), lambda x: abs(a.v[x] - b.v[x]))) AS error, abs((a.n + 1) // 2 - (2 * a.i + 16) // 2) AS off FROM full_ a JOIN full_ b ON b.script = a.script + 1) SELECT script, CAST(arg_min(error, (error, off, i, j)) AS BIGINT) AS error, arg_min(i, (error, off, i, j)) AS i, arg_min(j, (error, off, i, j)) AS j FROM e GROUP BY script")
 def j13_least_error(spark: SparkSession, d: str) -> DataFrame:
-    """Every place of a signal against every place of the next one: the pair of least L1 error over
-    three samples. The join is on the pair of signals, and its rows are reduced before any shuffle."""
-    w = Window.partitionBy("script").orderBy("i")
-    x = tb.actions(spark, d).select("script", F.col("ord").alias("i"), "pos").withColumn("v", F.array("pos", F.lead("pos").over(w), F.lead("pos", 2).over(w))).where("v[2] is not null").drop("pos")
-    b = x.select((F.col("script") - 1).alias("script"), F.col("i").alias("j"), F.col("v").alias("u"))
+    """Peaks of a signal against peaks of the next one, three of largest rise a day: the pair of least
+    error over sixteen samples, ties to that nearest the middle of the first signal."""
+    by = Window.partitionBy("script").orderBy("ord")
+    rise = F.col("pos") - F.lag("pos", 1).over(by)
+    w = tb.actions(spark, d).select("script", F.expr(f"t div {24 * HOUR}").alias("day"), "ord", F.row_number().over(by).alias("i"), F.coalesce(rise, F.lit(0)).alias("rise"), F.collect_list("pos").over(by.rowsBetween(0, 15)).alias("v"), F.count("*").over(Window.partitionBy("script")).alias("n"))
+    peaks = w.withColumn("k", F.row_number().over(Window.partitionBy("script", "day").orderBy(F.desc("rise"), "i"))).where("k <= 3 and size(v) = 16")
+    off = F.abs(F.expr("(n + 1) div 2 - (2 * i + 16) div 2"))
+    other = peaks.select((F.col("script") - 1).alias("script"), F.col("i").alias("j"), F.col("v").alias("u"))
     error = F.aggregate(F.zip_with("v", "u", lambda p, q: F.abs(p - q)), F.lit(0).cast("long"), lambda s, v: s + v)
-    best = x.join(b, "script").select("script", F.struct(error.alias("error"), "i", "j").alias("e")).groupBy("script").agg(F.min("e").alias("e"))
+    best = peaks.select("script", "i", "v", off.alias("off")).join(other, "script").select("script", F.struct(error.alias("error"), "off", "i", "j").alias("e")).groupBy("script").agg(F.min("e").alias("e"))
     return best.select("script", "e.error", "e.i", "e.j")
 
 

@@ -41,7 +41,7 @@ def test_subtract_merge_and_piecewise(spark):
 
 def test_sweep_nearest_and_empty_sides(spark):
     b = spark.createDataFrame([(1, 1, 0, 10, 7), (1, 2, 5, 8, 9), (1, 3, 4, 4, 1)], "k long, o long, s long, e long, v long")
-    assert rows(iv.sweep(b, ["k"], "s", "e", "o", "v").select("s", "e", "v")) == [(0, 5, 7), (5, 8, 7), (8, 10, 7)]
+    assert rows(iv.sweep(b, ["k"], "s", "e", "o", "v", 5).select("s", "e", "v")) == [(0, 5, 7), (5, 8, 7), (8, 10, 7)]
     probes, starts = spark.createDataFrame([(1, 1049), (1, 1050)], "k long, t long"), spark.createDataFrame([(1, 1000, 1), (1, 2000, 2)], "k long, s long, o long")
     assert rows(iv.nearest(probes, starts, ["k"], "t", "s", "o", 50)) == [(1, 1049, 1000, 49), (1, 1050, None, None)]
     empty = b.where("false")
