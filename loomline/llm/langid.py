@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -59,14 +60,13 @@ def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int
 
     Accelerated gradient steps, started afresh where they turn uphill, until none moves a weight by
     `settled` of the largest, or `rounds` are done."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
-    y = y.astype(np.float32)
+    x, y = np.asarray(x, dtype=np.float32), y.astype(np.float32)
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = v = np.zeros(x.shape[1], dtype=np.float32)
+    w = v = np.zeros(x.shape[1] + 1, dtype=np.float32)  # the last is the bias
     step, t = np.float32(1 / (4 + penalty)), 1
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (np.float32(penalty) * v - 2 * (weight * y * slack) @ x)
+        pull = 2 * weight * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        new = v - step * (np.float32(penalty) * v - np.append(pull @ x, pull.sum()))
         moved = new - w
         t = 1 if (v - new) @ moved > 0 else t + 1
         v, w = new + np.float32((t - 1) / (t + 2)) * moved, new
@@ -77,9 +77,9 @@ def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int
 
 class HierarchicalLanguages:
     """Family by one-versus-rest SVMs (one, where there are two), then the language by votes of
-    one-versus-one SVMs. `solve` maps the problems `(rows or None for all, y)` to their solutions."""
+    one-versus-one SVMs. They are fitted in threads, which share the rows."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], solve=None):
+    def __init__(self, x: np.ndarray, langs: list[str], threads: int = 4):
         family = np.array([_FAMILY.get(g, g) for g in langs])
         lang = np.array(langs)
         self.families = sorted(set(family.tolist()))
@@ -90,7 +90,8 @@ class HierarchicalLanguages:
         for a, b in names:
             own = np.flatnonzero((lang == a) | (lang == b))
             problems.append((own, np.where(lang[own] == a, 1.0, -1.0)))
-        solved = solve(problems) if solve and problems else [linear_svm(x if own is None else x[own], y) for own, y in problems]
+        with ThreadPoolExecutor(threads) as pool:
+            solved = list(pool.map(lambda p: linear_svm(x if p[0] is None else x[p[0]], p[1]), problems))
         self.family = solved[: len(rest)]
         if len(rest) == 1:
             self.family.append((-self.family[0][0], -self.family[0][1]))
@@ -124,7 +125,7 @@ class HierarchicalLanguages:
 
 
 #: Texts of all languages that the models are fitted on at most, and languages among them.
-SAMPLE, LANGUAGES = 16384, 64
+SAMPLE, LANGUAGES = 8192, 64
 
 
 def _draw(docs: DataFrame, text_col: str, lang_col: str, docs_a_language: int, seed: int) -> list[tuple[bytes, str]]:
@@ -162,23 +163,10 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, docs_a_language: int = 80
     """Fit on a bounded sample: the `docs_a_language` distinct texts of each language with the smallest
     seeded hashes, at most SAMPLE in all and of the LANGUAGES with the most texts. A language with fewer
     gives all its texts, and copies count once, however many there are. Null texts and languages teach
-    nothing. The SVMs are fitted in parallel, a task each; their vectors alone come back."""
-    spark = docs.sparkSession
+    nothing."""
     rows = _draw(docs, text_col, lang_col, docs_a_language, seed)
-    x = np.array([np.frombuffer(v, dtype="<f4") for v, _ in rows], dtype=np.float32).reshape(-1, DIMS)
-
-    def solve(problems):
-        def run(batches):
-            for batch in batches:
-                for i in batch.column(0).to_pylist():
-                    own, y = problems[i]
-                    w, b = linear_svm(x if own is None else x[own], y)
-                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["i", "w", "b"])
-
-        found = sorted(spark.range(0, len(problems), 1, len(problems)).mapInArrow(run, "i long, w binary, b double").collect())
-        return [(np.frombuffer(r["w"]), r["b"]) for r in found]
-
-    return HierarchicalLanguages(x, [g for _, g in rows], solve)
+    x = np.frombuffer(b"".join(v for v, _ in rows), dtype="<f4").reshape(-1, DIMS)
+    return HierarchicalLanguages(x, [g for _, g in rows])
 
 
 def identify(docs: DataFrame, model: HierarchicalLanguages, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
