@@ -29,19 +29,6 @@ def ws2_minute_peaks(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("script").applyInPandas(run, "script long, day long, i long")
 
 
-@query()
-def ws7_pad_and_split(spark: SparkSession, d: str) -> DataFrame:
-    """Timings padded by an hour each side, overlaps parted one after the other."""
-    t = tb.timings(spark, d).select("script", "ord", "s", F.least("e", F.col("s") + 600_000).alias("e"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["s", "ord"])
-        p[["s", "e"]] = sq.pad_and_split(list(zip(p.s, p.e)), 3_600_000, 3_600_000)
-        return p
-
-    return t.groupBy("script").applyInPandas(run, t.schema)
-
-
 @query()
 def ws19_conform_subtitles(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring subtitles merged greedily, then lines fitted."""

@@ -148,14 +148,6 @@ def verb_verify_offsets(spark: SparkSession, d: str) -> DataFrame:
     return hit.where("e + off >= 0").groupBy("script").agg(F.count("*").alias("kept"), F.sum(F.col("s") + F.col("off")).alias("starts"), F.countDistinct("o").alias("stretches"))
 
 
-@query(with_sql("timings") + ", p AS (SELECT script, greatest(0, s - 600000) AS s, least(e, s + 1800000) + 600000 AS e, ord FROM timings), f AS (SELECT *, max(e) OVER (PARTITION BY script ORDER BY s, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY script ORDER BY s, ord) AS g FROM f), m AS (SELECT script, min(s) AS s, max(e) AS e, count(*) AS members FROM g GROUP BY script, g), b AS (SELECT script, e AS s, n AS e FROM (SELECT script, e, lead(s) OVER (PARTITION BY script ORDER BY s, e) AS n FROM m) WHERE n - e > 0 AND n - e <= 7200000) SELECT script, s, e, 'speed' AS kind FROM m UNION ALL SELECT script, s, e, 'bridge' FROM b")
-def verb_generate_control(spark: SparkSession, d: str) -> DataFrame:
-    """The control chain: padded and merged blocks with bridges over small gaps."""
-    p = tb.timings(spark, d).select("script", "ord", F.greatest(F.lit(0).cast("long"), F.col("s") - 600_000).alias("s"), (F.least("e", F.col("s") + 1_800_000) + 600_000).alias("e"))
-    filled = il.fill_gaps(iv.merge_close(p, ["script"], "s", "e", ["ord"], 1), ["script"], "s", "e", 2 * HOUR)
-    return filled.select("script", "s", "e", F.when(F.col("bridge"), "bridge").otherwise("speed").alias("kind"))
-
-
 @query(with_sql("subtitles") + ", n AS (SELECT doc, ord, speaker, s, e, lead(s) OVER (PARTITION BY doc ORDER BY s, ord) AS nx FROM subtitles), x AS (SELECT doc, ord, speaker, s, CASE WHEN nx IS NULL THEN greatest(e + 500, s + 2500) ELSE least(greatest(e + 500, s + 2500), nx) END AS e FROM n) SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY s, e, ord) AS number, s % 86400000 AS s, e % 86400000 AS e, '{Speaker:' || speaker || '}' AS lines FROM x")
 def verb_subtitle_output(spark: SparkSession, d: str) -> DataFrame:
     """The output chain: metadata text, expanded times, SRT written and read back."""
