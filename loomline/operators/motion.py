@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -69,7 +70,14 @@ def keep_rules(r: DataFrame, activity: float = 60, quality: float = 90, least_pe
     return j.where(chosen).drop("_rank", "_kept", "_least")
 
 
-def frame_weights(blocs: DataFrame, r: DataFrame, frame: str) -> DataFrame:
-    """Sum of the projected motion of each frame over its blocks' rules (one row a block: broadcast)."""
+def frame_weights(blocs: DataFrame, r: DataFrame, frame: str, weigh: Callable[[Column, Column, Column], Column] = weight) -> DataFrame:
+    """Sum of each frame's motion over its blocks' rules (one row a block: broadcast), each weighed by
+    `weigh(x, y, direction)`, by default the projection on the rule's direction."""
     joined = blocs.join(F.broadcast(r.select("bloc", "direction")), "bloc")
-    return joined.groupBy(frame).agg(F.sum(weight(F.col("mx"), F.col("my"), F.col("direction"))).alias("weight"))
+    return joined.groupBy(frame).agg(F.sum(weigh(F.col("mx"), F.col("my"), F.col("direction"))).alias("weight"))
+
+
+def painted(r: DataFrame, across: int, x: tuple[int, int], y: tuple[int, int]) -> DataFrame:
+    """The rules of blocks in a rectangle of columns and rows, both ends included."""
+    column, row = F.col("bloc") % across, F.floor(F.col("bloc") / F.lit(across))
+    return r.where(column.between(*x) & row.between(*y))

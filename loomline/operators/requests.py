@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 class Unavailable(Exception):
@@ -70,6 +71,46 @@ def answered(make: Callable[[], Callable], column: str, out: str, in_flight: int
     return run
 
 
+#: Events of an answer's stream: what kind, and the pieces of the answer and of the thoughts behind it.
+EVENT = "type string, delta struct<text: string, thinking: string>"
+
+
+def accumulate(lines: DataFrame, by: list[str], order: str, line: str) -> DataFrame:
+    """Answers from the lines of event streams: `by, answer, thoughts, done`.
+
+    An empty line sends the last `data: ` line since the one before it; events of type
+    `content_block_delta` add their text to the answer or the thoughts, `message_stop` ends the
+    stream, others and broken ones tell nothing. One window over a stream's lines, then one sum."""
+    w = Window.partitionBy(*by).orderBy(order)
+    sent = lines.withColumn("_data", F.when(F.col(line).startswith("data: "), F.trim(F.substring(F.col(line), F.lit(7), F.length(line)))))
+    sent = sent.withColumn("_n", F.coalesce(F.sum(F.when(F.col(line) == "", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    events = sent.groupBy(*by, "_n").agg(F.max_by("_data", F.when(F.col("_data").isNotNull(), F.col(order))).alias("_data"), F.bool_or(F.col(line) == "").alias("_sent")).where("_sent and _data is not null")
+    e = events.select(*by, "_n", F.from_json("_data", EVENT).alias("_e"))
+    piece = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("_e.type") == "content_block_delta") & F.col(f"_e.delta.{name}").isNotNull(), F.struct("_n", F.col(f"_e.delta.{name}").alias("_t"))))), lambda x: x["_t"]), "")
+    return e.groupBy(*by).agg(piece("text").alias("answer"), piece("thinking").alias("thoughts"), F.coalesce(F.bool_or(F.col("_e.type") == "message_stop"), F.lit(False)).alias("done"))
+
+
+def batch_answers(requests: list, submit: Callable, poll: Callable, fetch: Callable, cancel: Callable, every: float = 10.0, longest: float = 86_400.0, errors: int = 5, sleep: Callable = time.sleep, clock: Callable = time.monotonic) -> list:
+    """Send requests as one batch job, ask for its state until it has ended, and fetch its results.
+
+    `poll` gives True once ended; it may be Unavailable up to `errors` times in a row. A job that
+    takes over `longest` seconds, or that stays unavailable, is cancelled and Unavailable raised."""
+    if not requests:
+        return []
+    job, start, missed = submit(requests), clock(), 0
+    while True:
+        try:
+            if poll(job):
+                return fetch(job)
+            missed = 0
+        except Unavailable:
+            missed += 1
+        if missed > errors or clock() - start > longest:
+            cancel(job)
+            raise Unavailable("the batch did not end")
+        sleep(every)
+
+
 def chunked_scan(end: int, scan: Callable[[int, int], list[tuple[int, int]]], chunk: int = 900_000, buffer: int = 10_000, start: int = 0) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """Scan `[start, end)` in chunks that restart at the last item found.
 

@@ -77,13 +77,6 @@ def j13_least_error(spark: SparkSession, d: str) -> DataFrame:
     return best.select("script", "e.error", "e.i", "e.j")
 
 
-@query(with_sql("actions") + ", p AS (SELECT script, max(k) AS hi FROM actions GROUP BY script) SELECT a.script, a.ord, k % 10 AS label, k % 10 = max(k % 10) OVER (PARTITION BY a.script, t // 86400000) AS best FROM actions a")
-def st5_best_label(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of a frame's labels, and which is the day's best."""
-    top = F.max(F.col("k") % 10).over(Window.partitionBy("script", F.expr(f"t div {24 * HOUR}")))
-    return tb.actions(spark, d).select("script", "ord", (F.col("k") % 10).alias("label"), (F.col("k") % 10 == top).alias("best"))
-
-
 def _engine():
     """A deterministic stand-in for an engine: the first of two is down for some inputs."""
     calls = {"n": 0}
@@ -119,19 +112,6 @@ def ws22_st13_chunked_scan(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("script").applyInPandas(run, "script long, s long, e long")
 
 
-@query()
-def st14_st15_adjusted_actions(spark: SparkSession, d: str) -> DataFrame:
-    """Tops and bottoms offset, spaced and rescaled."""
-    a = tb.actions(spark, d).select("script", "ord", (F.col("t") / 1000.0).alias("at"), F.col("pos").cast("double").alias("pos"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("ord")
-        t, new = rq.adjust_actions(p["at"].tolist(), p.pos.tolist(), 0.04, top=1, bottom=-1, low=10, high=90, filled=20)
-        return p.assign(at=t, pos=new)
-
-    return a.groupBy("script").applyInPandas(run, a.schema)
-
-
 @query(with_sql("actions") + "SELECT ord, '{\"StartTime\": \"' || (k % 60) || ' [part ' || k % 60 // 30 || ']\", \"Text\": \"x\"}' AS shown FROM actions")
 def sf25_real_times(spark: SparkSession, d: str) -> DataFrame:
     """Times in answers with the part they fall in."""

@@ -8,9 +8,11 @@ and y motions of all blocks as signed bytes."""
 from __future__ import annotations
 
 import io
+import os
 import struct
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 HEADER, FRAME = struct.Struct("<4s8i24x"), struct.Struct("<iic11x")
 
@@ -54,10 +56,12 @@ class MotionReader(DataSourceReader):
         if head[0] != b"FTMV":
             raise ValueError("not a motion file")
         self.blocs, self.frames = head[7] * head[8], head[4]
+        self.first = max(0, int(options.get("firstframe", 0)))
+        self.last = min(self.frames, int(options.get("lastframe", self.frames - 1)) + 1)
 
     def partitions(self):
         """Ranges of frames, each read by a seek."""
-        return [FrameRange(i, min(i + self.step, self.frames)) for i in range(0, self.frames, self.step)] or [FrameRange(0, 0)]
+        return [FrameRange(i, min(i + self.step, self.last)) for i in range(self.first, self.last, self.step)] or [FrameRange(0, 0)]
 
     def read(self, partition: FrameRange):
         size = FRAME.size + 2 * self.blocs
@@ -70,9 +74,26 @@ class MotionReader(DataSourceReader):
                 yield _frame(raw, self.blocs)
 
 
+class PushingReader(MotionReader):
+    """A reader that takes its range from the query's own filters."""
+
+    def pushFilters(self, filters):
+        """Bounds of the frame number become the range that is read; files number frames from 0. Spark
+        checks them again, as it does all other filters."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("frame",):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.last = min(self.last, f.value + isinstance(f, LessThanOrEqual))
+            yield f
+
+
 class MotionSource(DataSource):
     """`spark.dataSource.register(MotionSource)`, then `spark.read.format("motion").load(path)`; the
-    path must be reachable by every executor. Option framesPartition: frames of one partition."""
+    path must be reachable by every executor. Options: framesPartition, frames of one partition;
+    firstFrame and lastFrame, the range to read; pushdown, to take it from filters on `frame`, for
+    sessions whose spark.sql.python.filterPushdown.enabled is true."""
 
     @classmethod
     def name(cls):
@@ -82,4 +103,21 @@ class MotionSource(DataSource):
         return "frame int, t_ms int, type string, mx binary, my binary"
 
     def reader(self, schema):
-        return MotionReader(self.options)
+        return (PushingReader if self.options.get("pushdown", "false").lower() == "true" else MotionReader)(self.options)
+
+
+def write(files: DataFrame, folder: str, name: str, content: str) -> None:
+    """Write each row's content as `folder/name.mvs`, from the executors; a file that is written again after
+    a failure replaces itself. The folder must be a path that every executor reaches."""
+    os.makedirs(folder, exist_ok=True)
+
+    def run(rows):
+        for batch in rows:
+            for n, data in zip(batch[name], batch[content]):
+                path = os.path.join(folder, f"{n}.mvs")
+                with open(path + ".tmp", "wb") as f:
+                    f.write(data)
+                os.replace(path + ".tmp", path)
+            yield batch[[name]]
+
+    files.select(name, content).mapInPandas(run, f"{name} {files.schema[name].dataType.simpleString()}").count()

@@ -124,6 +124,21 @@ def test_motion_file(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("frame").collect()] == [(n, t, k, bytearray(x), bytearray(y)) for n, t, k, x, y in frames]
 
 
+def test_motion_file_ranges(spark, tmp_path):
+    """A range by options, and one that filters push down, where the session lets them."""
+    frames = [(i, i * 40, "P", bytes([i] * 4), bytes(4)) for i in range(25)]
+    (tmp_path / "a.mvs").write_bytes(motion_file.encode(frames, 2, 2))
+    spark.dataSource.register(motion_file.MotionSource)
+    load = lambda **o: spark.read.format("motion").options(**o).load(str(tmp_path / "a.mvs"))
+    assert [r.frame for r in load(firstFrame="3", lastFrame="7").collect()] == [3, 4, 5, 6, 7]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = load(pushdown="true", framesPartition="4").where("frame > 3 and frame <= 12 and t_ms <> 400")
+        assert df.rdd.getNumPartitions() == 3 and sorted(r.frame for r in df.collect()) == [4, 5, 6, 7, 8, 9, 11, 12]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 @given(st.lists(st.integers(0, 65535)))
 def test_envelope_codec(x):
     assert envelopes.decode(envelopes.encode(x)) == x
