@@ -110,7 +110,7 @@ def batch_cut(df: DataFrame, by: list[str], order: list[str], s: str, e: str, si
     w = Window.partitionBy(*by).orderBy(*order)
     d = df.withColumn("_n", F.row_number().over(w)).withColumn("_gap", F.lead(s).over(w) - F.col(e))
     total = d.groupBy(*by).agg(F.count("*").alias("_all"), F.max_by("_n", F.when((F.col("_n") <= size) & (F.col("_n") > size - max(window, 1)), F.struct("_gap", -F.col("_n")))).alias("_cut"))
-    d = d.join(total, by).where(F.col("_n") >= F.col("_cut"))
+    d = d.join(total, by).where(F.col("_n") >= F.coalesce("_cut", F.lit(1)))
     grow = F.lit(True) if together is None else ~(F.col("_gap") < together)
     ends = d.groupBy(*by).agg(F.min(F.when(F.coalesce(grow, F.lit(True)), F.col("_n"))).alias("_end"), F.max("_all").alias("_all"))
     return ends.select(*by, F.when(F.col("_all") <= size, F.col("_all")).otherwise(F.coalesce("_end", "_all")).cast("long").alias("taken"))

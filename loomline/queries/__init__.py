@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("intervals", "islands", "aggregates", "scalars", "motion", "sequential", "files", "streams", "workers", "retimer", "media")
+MODULES = ("intervals", "islands", "aggregates", "scalars", "motion", "sequential", "files", "streams", "workers", "retimer", "media", "plugins")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
