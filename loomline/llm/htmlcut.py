@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import lean, slices
 
 # Element names of the HTML standard.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -405,7 +405,7 @@ def fit(pages: DataFrame, html_col: str = "html") -> Costs:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["cell", "y", "n"])
 
     counts, agree = np.zeros((math.prod(_SHAPE), 2)), np.zeros((len(_RELATIONS), 2))
-    for r in pages.select(F.col(html_col)).mapInArrow(run, "cell int, y int, n long").groupBy("cell", "y").agg(F.sum("n").alias("n")).collect():
+    for r in pages.select(F.col(html_col)).mapInArrow(lean(run), "cell int, y int, n long").groupBy("cell", "y").agg(F.sum("n").alias("n")).collect():
         (counts[r["cell"]] if r["cell"] >= 0 else agree[-1 - r["cell"]])[int(r["y"] > 0)] = r["n"]
     return Costs(counts, agree)
 
@@ -424,4 +424,4 @@ def extract(pages: DataFrame, costs: Costs | None = None, id_col: str = "page_id
             texts = [main_text(h, costs) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
-    return pages.select(F.col(id_col), F.col(url_col), F.col(html_col)).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
+    return pages.select(F.col(id_col), F.col(url_col), F.col(html_col)).mapInArrow(lean(run), f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")

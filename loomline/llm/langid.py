@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut, slices
+from .common import cut, lean, slices
 
 #: Hashed dimensions of letter 1- to 3-grams.
 DIMS = 2048
@@ -155,7 +155,7 @@ def _draw(docs: DataFrame, text_col: str, lang_col: str, docs_a_language: int, s
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.string()), pa.array([x[2] for x in made], pa.int64())], names=["v", "g", "k"])
 
     # At most SAMPLE rows are broadcast, and as many come back.
-    drawn = known.join(F.broadcast(chosen), ["g", "k"]).select("t", "g", "k").mapInArrow(run, "v binary, g string, k long").dropDuplicates(["g", "k"])
+    drawn = known.join(F.broadcast(chosen), ["g", "k"]).select("t", "g", "k").mapInArrow(lean(run), "v binary, g string, k long").dropDuplicates(["g", "k"])
     return sorted((bytes(r["v"]), r["g"]) for r in drawn.select("v", "g").collect())
 
 
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: HierarchicalLanguages, id_col: str = "doc_i
             lang, score = _predict(model, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, *keep, "lang_pred", "score"])
 
-    return docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def _predict(model: HierarchicalLanguages, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -207,4 +207,4 @@ def keep(docs: DataFrame, model: HierarchicalLanguages, text_col: str = "text",
             ok = np.array([g != "und" and (langs is None or g in langs) for g in lang], dtype=bool)
             yield batch.filter(pa.array(ok & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

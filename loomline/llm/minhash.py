@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, lean
 
 #: 32 bands of 5 rows: at a similarity of 0.8 a pair shares no band once in 300,000 times.
 BANDS, ROWS = 32, 5
@@ -154,7 +154,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
                 ], names=["id", "text_hash", "n", "h", "g", "bands"])
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col)).mapInArrow(run, f"id {kind}, text_hash long, n long, h long, g long, bands array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col)).mapInArrow(lean(run), f"id {kind}, text_hash long, n long, h long, g long, bands array<bigint>")
 
 
 def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -187,7 +187,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFr
                 yield pa.RecordBatch.from_arrays([*_identity(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "h", "g", "shingles"])
 
     at = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(bits))
-    found = docs.select(F.col(text_col), at.alias("p")).mapInArrow(run, "n long, h long, g long, shingles binary")
+    found = docs.select(F.col(text_col), at.alias("p")).mapInArrow(lean(run), "n long, h long, g long, shingles binary")
     return found.dropDuplicates(["h", "g", "n"]).join(wanted.select("c", "h", "g", "n"), ["h", "g", "n"]).select("c", "shingles")
 
 
@@ -205,7 +205,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.where(100 * least >= percent * most).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return joined.where(100 * least >= percent * most).select("u", "v", "a", "b").mapInArrow(lean(run), "u long, v long")
 
 
 def link_cell(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -302,7 +302,7 @@ def _cells(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             short = [np.frombuffer(s, dtype=np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["c", "short"])
 
-    rows = rows.join(sets.mapInArrow(shorten, "c long, short binary"), "c").withColumn("own", F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.mapInArrow(lean(shorten), "c long, short binary"), "c").withColumn("own", F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "c", "component", "short")
 

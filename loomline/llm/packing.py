@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import tokenizer
-from .common import slices
+from .common import lean, slices
 
 #: Documents packed together; bounds a task's memory whatever the size of the input.
 GROUP_DOCS = 1024
@@ -55,7 +55,7 @@ def tokenise_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, seq_
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(blocks, pa.binary()), pa.array(again, pa.int32())], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "blocks", "again"])
         enc.forget()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {_PIECE}, blocks binary, again int")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, {_PIECE}, blocks binary, again int")
 
 
 def assign(lengths: np.ndarray, seq_len: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:

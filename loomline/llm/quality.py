@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, slices
+from .common import cut, lean, slices
 
 #: Statistics of a text, in the order of `statistics`.
 NAMES = ("words", "word_length", "upper", "digits", "symbols", "pauses", "exclaims", "bars", "lines", "distinct", "repeats", "wide", "longest")
@@ -84,7 +84,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=[id_col, "x"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, x array<double>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, x array<double>")
 
 
 def fit(labelled: DataFrame, label_col: str, shrinkage: float = 0.1) -> QuadraticDiscriminant:
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, label_col: str, shrinkage: float = 0.1) -> Quadrati
                 v = np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(v), pa.int32()), pa.array(range(len(v)), pa.int32()), pa.array(v)], names=["label", "k", "v"])
 
-    sums = labelled.where(F.col(label_col).isin(0, 1)).select("x", F.col(label_col).cast("int")).mapInArrow(run, "label int, k int, v double")
+    sums = labelled.where(F.col(label_col).isin(0, 1)).select("x", F.col(label_col).cast("int")).mapInArrow(lean(run), "label int, k int, v double")
     moments = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
     for r in sums.groupBy("label", "k").agg(F.sum("v").alias("v")).collect():
         moments[r["label"]][r["k"]] = r["v"]
@@ -127,7 +127,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             s = model.score(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return x.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return x.mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int")
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, shrinkage: float = 0.1) -> DataFrame:
@@ -144,4 +144,4 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             x = np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(NAMES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, lean
 
 #: Postings of one block of an inverted list; a task compares two blocks at most.
 BLOCK = 1024
@@ -165,7 +165,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 perms, raws = (pa.array([p.tobytes() for p in m], pa.binary()).take(at) for m in (perm.astype("<i4"), raw))
                 yield pa.RecordBatch.from_arrays([pa.array(perm[listed], pa.int32()), batch.column(0).take(own).take(at), batch.column(1).take(own).take(at), perms, raws], names=["pivot", "c", "copies", "perm", "raw"])
 
-    postings = reps.select("c", "copies", "v").mapInArrow(index, "pivot int, c long, copies long, perm binary, raw binary")
+    postings = reps.select("c", "copies", "v").mapInArrow(lean(index), "pivot int, c long, copies long, perm binary, raw binary")
     lengths = postings.groupBy("pivot").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).where("count > 1")
     # One row for each pivot, which PIVOT_BYTES bounds.
     dealt = postings.join(F.broadcast(lengths.select("pivot", "blocks")), "pivot").withColumn("own", F.pmod(F.xxhash64("c", F.lit(seed + 1)), F.col("blocks")).cast("int"))
