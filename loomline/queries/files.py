@@ -157,7 +157,7 @@ def sc3_motion_file(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("frame", "t_ms", "clip", F.length("mx").cast("long").alias("blocs"), F.aggregate(byte("mx"), F.lit(0).cast("long"), lambda s, v: s + v).alias("x_sum"))
 
 
-@query()
+@query(with_sql("actions") + "SELECT script, count(*) AS n, true AS same FROM actions GROUP BY script")
 def sf10_envelope_codec(spark: SparkSession, d: str) -> DataFrame:
     """Envelopes encoded and decoded again."""
     both = F.pandas_udf(lambda s: s.map(lambda x: envelopes.decode(envelopes.encode(x)) == list(x)), T.BooleanType())

@@ -215,7 +215,8 @@ def st14_adjusted_actions(spark: SparkSession, d: str) -> DataFrame:
 
     def run(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["t", "ord"])
-        kept = vi.placed((own.t / 1000).tolist(), own.pos.astype(float).tolist(), (other.t / 1000).tolist(), HOUR / 1000, top=1, bottom=-1, low=10, high=90, filled=20)
+        kept = vi.placed((own.t / 1000).tolist(), own.pos.astype(float).tolist(), (other.old_t / 1000).tolist(), HOUR / 1000, top=1, bottom=-1, low=10, high=90, filled=20)
         return pd.DataFrame([(own.script.iloc[i], own.ord.iloc[i], a, p) for i, a, p in kept], columns=["script", "ord", "at", "pos"])
 
-    return inside.groupBy("script").cogroup(old.groupBy("script")).applyInPandas(run, "script long, ord long, at double, pos double")
+    other = old.select(F.col("script").alias("old_script"), F.col("t").alias("old_t"))
+    return inside.groupBy("script").cogroup(other.groupBy("old_script")).applyInPandas(run, "script long, ord long, at double, pos double")

@@ -272,7 +272,7 @@ def sf14_sf15_fit_lines(spark: SparkSession, d: str) -> DataFrame:
     return tb.table(spark, d, "benchmark").select("item_id", fit(F.trim("text")).alias("shown"))
 
 
-@query()
+@query(with_sql("actions") + "SELECT ord, 2 AS objects, 'a \"b\" c' AS first_text, CAST(k AS VARCHAR) AS second_start FROM actions")
 def sf21_repair_answers(spark: SparkSession, d: str) -> DataFrame:
     """Objects read from damaged answers, as many as are whole."""
     import json

@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomline.functions import text as tx
 from loomline.operators import sequential as sq
 from loomline.sources import tables as tb
+from loomline.sources.tables import with_sql
 
 from . import query
 
 
-@query()
+@query(
+    with_sql("actions")
+    + ", b AS (SELECT script, t // 60000 // 1440 AS day, t // 60000 AS i, max(pos) AS pos FROM actions GROUP BY ALL), r AS (SELECT script, day, i, pos - lag(pos, 1, pos) OVER (PARTITION BY script, day ORDER BY i) AS rise FROM b),"
+    " p1 AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY script, day ORDER BY rise DESC, i) = 1), p2 AS (SELECT r.*, p1.i AS i1 FROM r JOIN p1 USING (script, day) WHERE abs(r.i - p1.i) >= 60 QUALIFY row_number() OVER (PARTITION BY script, day ORDER BY r.rise DESC, r.i) = 1), p3 AS (SELECT r.* FROM r JOIN p2 USING (script, day) WHERE abs(r.i - p2.i) >= 60 AND abs(r.i - p2.i1) >= 60 QUALIFY row_number() OVER (PARTITION BY script, day ORDER BY r.rise DESC, r.i) = 1)"
+    " SELECT script, day, i FROM p1 UNION ALL SELECT script, day, i FROM p2 UNION ALL SELECT script, day, i FROM p3"
+)
 def ws2_minute_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Peaks of each day of each script with suppression of near ones (time in minutes)."""
     a = tb.actions(spark, d).select("script", F.expr("t div 60000 div 1440").alias("day"), F.expr("t div 60000").alias("i"), "pos")

@@ -26,19 +26,36 @@ def _drain(spark: SparkSession, d: str, name: str, f) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-@query()
+_P = "p AS (SELECT user_id AS script, event_id AS ord, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, value / 100 AS p FROM events)"
+#: The automaton again, one row a step: whether it is triggered, where silence began, and what it emits.
+_AUTOMATON = (
+    "WITH RECURSIVE " + _P + ", st AS (SELECT DISTINCT script, 0::BIGINT AS i, false AS trig, 0::BIGINT AS fin, CAST(NULL AS VARCHAR) AS ev, 0::BIGINT AS at_ FROM p UNION ALL"
+    " SELECT script, i, CASE WHEN p >= 0.5 THEN true WHEN p < 0.35 AND trig AND i * 512 - f >= {silence} THEN false ELSE trig END, CASE WHEN p >= 0.5 THEN 0 WHEN p < 0.35 AND trig THEN CASE WHEN i * 512 - f >= {silence} THEN 0 ELSE f END ELSE fin END, CASE WHEN p >= 0.5 AND NOT trig THEN 'start' WHEN p < 0.35 AND trig AND i * 512 - f >= {silence} THEN 'end' END, CASE WHEN p >= 0.5 THEN i * 512 ELSE f END"
+    " FROM (SELECT p.script, p.i, p.p, trig, fin, CASE WHEN fin = 0 THEN p.i * 512 ELSE fin END AS f FROM st JOIN p ON p.script = st.script AND p.i = st.i + 1))"
+)
+
+
+@query(_AUTOMATON.format(silence=1600) + " SELECT script, ev AS kind, CASE ev WHEN 'start' THEN at_ - 480 ELSE at_ + 480 END AS sample FROM st WHERE ev IS NOT NULL")
 def st1_voice_stream(spark: SparkSession, d: str) -> DataFrame:
     """Hysteresis over a stream of probabilities, state by key."""
     return _drain(spark, d, "st1", lambda s: voice.hysteresis_stream(s, "script", "ord", "p"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + _P + ", st AS (SELECT DISTINCT script, 0::BIGINT AS i, 0::BIGINT AS ord, CAST([] AS INTEGER[]) AS ring, false AS opened, false AS turned FROM p UNION ALL"
+    " SELECT script, i, ord, CASE WHEN turned THEN CAST([] AS INTEGER[]) ELSE ring END, CASE WHEN turned THEN NOT opened ELSE opened END, turned FROM (SELECT *, CASE WHEN opened THEN len(ring) - list_sum(ring) ELSE list_sum(ring) END > 0.55 * 5 AS turned FROM (SELECT p.script, p.i, p.ord, list_append(CASE WHEN len(ring) = 5 THEN ring[2:] ELSE ring END, CAST(p.p > 0.5 AS INTEGER)) AS ring, opened FROM st JOIN p ON p.script = st.script AND p.i = st.i + 1)))"
+    " SELECT script, CASE WHEN opened THEN 'open' ELSE 'close' END AS kind, ord FROM st WHERE turned"
+)
 def st3_voting_gate_stream(spark: SparkSession, d: str) -> DataFrame:
     """The voting gate over a stream."""
     return _drain(spark, d, "st3", lambda s: voice.gate_stream(s, "script", "ord", "p", 5, 0.55))
 
 
-@query()
+@query(
+    _AUTOMATON.format(silence=600)
+    + ", ev AS (SELECT script, at_ - 512 AS at_, ev, row_number() OVER (PARTITION BY script ORDER BY i) AS k FROM st WHERE ev IS NOT NULL), n AS (SELECT script, 512 * count(*) AS total FROM p GROUP BY script), sp AS (SELECT a.script, a.at_ AS s, coalesce(b.at_, total) AS e, total FROM ev a JOIN n USING (script) LEFT JOIN ev b ON b.script = a.script AND b.k = a.k + 1 WHERE a.ev = 'start'), long_ AS (SELECT *, s - lag(e) OVER w AS g0, lead(s) OVER w - e AS g1 FROM sp WHERE e - s > 400 WINDOW w AS (PARTITION BY script ORDER BY s))"
+    " SELECT script, greatest(0, s - CASE WHEN g0 < 960 THEN g0 // 2 ELSE 480 END) AS s, least(total, e + CASE WHEN g1 < 960 THEN g1 // 2 ELSE 480 END) AS e FROM long_"
+)
 def st2_voice_batch(spark: SparkSession, d: str) -> DataFrame:
     """Spans of speech of each whole signal."""
     p = _probabilities(tb.table(spark, d, "events"))

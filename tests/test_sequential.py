@@ -81,6 +81,21 @@ def test_speed_limit_equals_a_slow_form(steps, scale, add, most):
     assert sq.limit_speed(at, pos, scale, add, most) == slow_limit(at, pos, scale, add, most)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(30, 900), st.integers(0, 10)), min_size=2, max_size=12), st.sampled_from([0.5, 1.2]), st.sampled_from([None, 100.0]))
+def test_ends_of_strokes_of_any_script_equal_a_slow_form(points, scale, most):
+    at, pos = [], []
+    for t, p in points:
+        at.append((at[-1] if at else 0) + t)
+        pos.append(p * 10)
+    runs = sq.strokes(pos)
+    ends = slow_limit([at[z] for _, z in runs], [pos[z] for _, z in runs], scale, 0, most)
+    new = sq.limit_speed(at, pos, scale, 0, most)
+    # Points before the first move keep their positions, if there are several.
+    assert [new[z] for a, z in runs if (a, z) != runs[0] or a == z] == [e for e, (a, z) in zip(ends, runs) if (a, z) != runs[0] or a == z]
+    assert all(0 <= x <= 100 for x in new)
+
+
 def test_strokes_and_points_within_them():
     assert sq.strokes([0, 50, 100, 100, 60, 60, 20, 80]) == [(0, 0), (1, 3), (4, 6), (7, 7)]
     assert sq.strokes([5, 5, 5]) == [(0, 2)] and sq.strokes([]) == []
