@@ -6,6 +6,8 @@ neither side has to fit anywhere. Pass `width` near the typical interval length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -128,3 +130,12 @@ def sweep(blocks: DataFrame, by: list[str], s: str, e: str, order: str, value: s
     hit = overlap_join(steps, solid.select(*by, F.col(s).alias("_bs"), F.col(e).alias("_be"), F.col(order).alias("_bo"), F.col(value).alias("_bv")), by, ("_t", "_u"), ("_bs", "_be"), width)
     best = F.max_by("_bv", F.struct(F.col("_be") - F.col("_bs"), -F.col("_bs"), -F.col("_bo")))
     return hit.groupBy(*by, "_t", "_u").agg(best.alias(value)).select(*by, F.col("_t").alias(s), F.col("_u").alias(e), value)
+
+
+def moved(items: DataFrame, times: list[str], transform: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """Items with all their times put through a transform `(items, time, out) -> items with out`; an item
+    stays only if each of its times maps. The transform may be an offset join, a retiming or any other."""
+    out = items
+    for t in times:
+        out = transform(out, t, "_new").where(F.col("_new").isNotNull()).withColumn(t, F.col("_new")).select(*items.columns)
+    return out

@@ -140,3 +140,19 @@ def prefix_sum(df: DataFrame, by: list[str], order: str, value: str, out: str, w
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     inside = F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(*before))
     return parts.withColumn("_inside", inside).join(sums, same).select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0))).alias(out))
+
+
+def silence_compressed(df: DataFrame, by: list[str], order: list[str], s: str, e: str, silence: int) -> DataFrame:
+    """Where each interval lies when long silences between intervals are cut: adds `at`, `till` and `back`, the
+    offset from there to the original time.
+
+    A gap over `silence` becomes half of it on either side; a shorter one is kept, with the interval
+    before it; none is added where intervals overlap or touch."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    half = silence // 2
+    gap_before, gap_after = F.col(s) - F.lag(e).over(w), F.lead(s).over(w) - F.col(e)
+    before = F.when(gap_before > silence, half).otherwise(0)
+    after = F.when(gap_after > silence, half).when(gap_after > 0, gap_after).otherwise(0)
+    d = df.withColumn("_n", (before + F.col(e) - F.col(s) + after).cast("long"))
+    d = d.withColumn("at", F.coalesce(F.sum("_n").over(_before(w)), F.lit(0)))
+    return d.withColumn("till", F.col("at") + F.col("_n")).withColumn("back", F.col(s) - F.col("at")).drop("_n")

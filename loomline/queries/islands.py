@@ -160,13 +160,20 @@ def ws20_context_points(spark: SparkSession, d: str) -> DataFrame:
     return il.context_points(t, ["script"], "s", "e", HOUR, 6 * HOUR)
 
 
-@query(with_sql("timings") + ", p AS (SELECT script, ord, s, least(e, s + 600000) AS e FROM timings) SELECT script, ord, at_, s - at_ AS back FROM (SELECT script, ord, s, CAST(coalesce(sum(e - s + 300) OVER (PARTITION BY script ORDER BY s, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_ FROM p)")
+#: Intervals whose gaps are long, short or none, and where they lie once long silences are cut.
+COMPRESSED = ", p AS (SELECT script, ord, s, CASE ord % 3 WHEN 0 THEN least(e, s + 600000) WHEN 1 THEN e - 200 ELSE e + 100 END AS e FROM timings), g AS (SELECT *, s - lag(e) OVER w AS gb, lead(s) OVER w - e AS ga FROM p WINDOW w AS (PARTITION BY script ORDER BY s, ord)), l AS (SELECT *, CASE WHEN gb > 300 THEN 150 ELSE 0 END + e - s + CASE WHEN ga > 300 THEN 150 WHEN ga > 0 THEN ga ELSE 0 END AS n FROM g), merged AS (SELECT script, ord, at_, at_ + n AS till, s - at_ AS back FROM (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY script ORDER BY s, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_ FROM l))"
+
+
+def compressed(spark: SparkSession, d: str) -> DataFrame:
+    end = F.when(F.col("ord") % 3 == 0, F.least("e", F.col("s") + 600_000)).when(F.col("ord") % 3 == 1, F.col("e") - 200).otherwise(F.col("e") + 100)
+    p = tb.timings(spark, d).select("script", "ord", "s", end.alias("e"))
+    return il.silence_compressed(p, ["script"], ["s", "ord"], "s", "e", 300).select("script", "ord", F.col("at").alias("at_"), "till", "back")
+
+
+@query(with_sql("timings") + COMPRESSED + " FROM merged SELECT *")
 def ws21_silence_compressed(spark: SparkSession, d: str) -> DataFrame:
-    """Place of each interval in the concatenation with 300 ms of silence between, and the way back."""
-    p = tb.timings(spark, d).withColumn("e", F.least("e", F.col("s") + 600_000))
-    w = Window.partitionBy("script").orderBy("s", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.col("e") - F.col("s") + 300).over(w), F.lit(0))
-    return p.select("script", "ord", at.alias("at_"), (F.col("s") - at).alias("back"))
+    """Place of each interval in the concatenation without long silences, and the way back."""
+    return compressed(spark, d)
 
 
 @query(with_sql("timings") + "SELECT script, 'extra' AS part, ord, s FROM timings x WHERE kind = 'view' AND NOT EXISTS (FROM timings c WHERE c.script = x.script AND c.kind = 'click' AND c.s < x.s) UNION ALL SELECT script, 'timing', ord, s FROM timings WHERE kind = 'click'")

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomline.functions import hybrid
 from loomline.operators import intervals as iv, islands as il, motion as mo, sequential as sq
-from loomline.plans import toolbox, workers
+from loomline.plans import media_workers, toolbox, workers  # noqa: F401
 from loomline.session import scratch
 from loomline.sources import tables as tb
 from loomline.sources.tables import HOUR, with_sql
 from loomline.streaming import folder
 
 from . import query
+from .islands import COMPRESSED
 from .motion import _KEPT, _LIMITS, _W, _blocs
 
 
@@ -250,3 +251,70 @@ def sc22_private_config(spark: SparkSession, d: str) -> DataFrame:
     """A flat configuration as names without case and their texts; the last of a name wins."""
     flat = hybrid.flat_config('// private\n{"ApiKey": "old", "APIKEY": "x y", "Folder": "/tmp", "Limit": 3}')
     return spark.createDataFrame(sorted(flat.items()), "name string, value string")
+
+
+def _run(kind: str, inputs: dict[str, DataFrame], **settings) -> DataFrame:
+    return workers.run([workers.Step("out", kind, list(inputs), settings)], inputs)[0]["out"]
+
+
+@query(with_sql("timings") + COMPRESSED + ", ends AS (SELECT script, max(till) AS z FROM merged GROUP BY script), heard AS (SELECT script, n * 7200000 AS s, n * 7200000 + 200 AS e, 'w' || n AS text FROM ends, range(2000) r(n) WHERE n * 7200000 < z) SELECT h.script, h.s + a.back AS s, h.e + b.back AS e, text FROM heard h JOIN merged a ON a.script = h.script AND h.s >= a.at_ AND h.s < a.till JOIN merged b ON b.script = h.script AND h.e >= b.at_ AND h.e < b.till")
+def worker_merged_vad(spark: SparkSession, d: str) -> DataFrame:
+    """Items heard every two hours in timings without their silences, back on the original timeline."""
+    end = F.when(F.col("ord") % 3 == 0, F.least("e", F.col("s") + 600_000)).when(F.col("ord") % 3 == 1, F.col("e") - 200).otherwise(F.col("e") + 100)
+    t = tb.timings(spark, d).select("script", "ord", "s", end.alias("e"))
+
+    def hear(line: DataFrame) -> DataFrame:
+        n = line.groupBy("script").agg(F.max("till").alias("z")).select("script", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(z - 1) div 7200000"))).alias("n"))
+        return n.select("script", (F.col("n") * 7_200_000).alias("s"), (F.col("n") * 7_200_000 + 200).alias("e"), F.concat(F.lit("w"), F.col("n").cast("string")).alias("text"))
+
+    return _run("transcriber-audio-merged-vad", {"timings": t}, by=["script"], order="ord", silence=300, width=6 * HOUR, hear=hear)
+
+
+def _reader(rows: pd.DataFrame):
+    spans = sorted(zip(rows.s.tolist(), rows.e.tolist(), rows.text.tolist()))
+    return lambda a, b: [x for x in spans if a <= x[0] < b]
+
+
+@query(with_sql("timings") + "SELECT script, s, e, kind AS text FROM (SELECT script, s, least(e, s + 1000) AS e, kind, count(*) OVER (PARTITION BY script ORDER BY s RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS near FROM timings WHERE s % 86400000 BETWEEN 3600000 AND 75600000) WHERE kind <> 'error' AND s < 2592000000")
+def worker_full_ai(spark: SparkSession, d: str) -> DataFrame:
+    """Signals scanned in chunks of a day less an hour; no item lies near a chunk's end, so all are found but the ignored."""
+    t = tb.timings(spark, d).where(F.expr(f"s % {24 * HOUR}").between(HOUR, 21 * HOUR)).select("script", "s", F.least("e", F.col("s") + 1000).alias("e"), F.col("kind").alias("text"))
+    return _run("transcriber-audio-full-ai", {"source": t}, by=["script"], end=30 * 24 * HOUR, chunk=25 * HOUR, buffer=HOUR, ignored=[("errors", "err.*")], make=_reader)
+
+
+def _caller():
+    return lambda x: x[::-1]
+
+
+@query(with_sql("subtitles") + "SELECT doc, s, e, CASE WHEN ord % 3 = 0 THEN 'kept' ELSE reverse(speaker) END AS text FROM subtitles")
+def worker_translator_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Items that aren't translated yet, each sent to an engine, beside those that are."""
+    t = tb.subtitles(spark, d)
+    return _run("translator-calls", {"source": t.withColumn("text", F.col("speaker")), "produced": t.where("ord % 3 = 0").select("doc", "s", "e", F.lit("kept").alias("text"))}, by=["doc"], make=_caller)
+
+
+@query(with_sql("subtitles") + ", o AS (SELECT doc FROM subtitles GROUP BY doc HAVING bool_or(speaker = 'system')) SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY s, e, ord) AS ord, s, e, 'Speaker=' || speaker || ';Turn=' || ord AS meta FROM subtitles WHERE doc NOT IN (SELECT doc FROM o)")
+def worker_import_metadatas(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata read from subtitle files in which nothing is left to review."""
+    from loomline.sources import subtitles as st
+
+    t = tb.subtitles(spark, d).withColumn("meta", F.concat(F.lit("{Speaker:"), "speaker", F.lit("} {Turn: "), F.col("ord").cast("string"), F.lit("}")))
+    files = st.write_srt(t, ["doc"], "s", "e", "meta", "ord")
+    out = _run("transcriber-import-metadatas", {"files": files}, by=["doc"], open_mark="{Speaker:system}")
+    return out.select("doc", F.col("ord").cast("long").alias("ord"), "s", "e", F.array_join(F.transform(F.array_sort(F.map_entries("meta")), lambda m: F.concat(m["key"], F.lit("="), m["value"])), ";").alias("meta"))
+
+
+@query("SELECT doc_id, source || '.' || doc_id || '.mvs' AS output FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, source || '.' || doc_id || '.mvs' FROM documents WHERE doc_id % 10 = 0")
+def verb_prepare_motion(spark: SparkSession, d: str) -> DataFrame:
+    """Videos whose motion file isn't there yet; the steps that make it are outside the engine."""
+    videos = tb.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("."), F.col("doc_id").cast("string"), F.lit(".mvs")).alias("output"))
+    present = videos.where("doc_id % 5 = 0 and doc_id % 10 <> 0").select(F.upper("output").alias("_there"))
+    return videos.join(present, F.upper("output") == F.col("_there"), "left_anti")
+
+
+@query("SELECT conv_id * 100 + turn AS id, CASE WHEN turn % 2 = 0 THEN 'answer ' || turn ELSE role END AS content, turn % 2 = 0 AS done FROM conversations")
+def sk15_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts that a person answers, some still to be answered, some left as they were."""
+    c = tb.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", "turn")
+    answers = c.select("id", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("answer "), F.col("turn").cast("string"))).when(F.col("turn") % 3 == 0, F.col("role")).otherwise("  ").alias("answer"))
+    return folder.exchange(c.select("id", F.col("role").alias("prompt")), answers, "id", "prompt", "answer")

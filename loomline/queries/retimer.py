@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomline.functions import times as tm
-from loomline.operators import retimer as rt
+from loomline.operators import intervals as iv, retimer as rt
 from loomline.sources import tables as tb
 from loomline.sources.tables import HOUR, with_sql
 
@@ -92,9 +92,9 @@ def verb_sync_assets(spark: SparkSession, d: str) -> DataFrame:
     t = tb.timings(spark, d)
     clicks = rt.retime(t.where("kind = 'click'").select("script", "ord", F.col("s").alias("t")), o, ["script"], "t", 6 * HOUR, "new_s")
     views = t.where("kind = 'view' and e > s").select("script", "ord", "s", F.least("e", F.col("s") + 5000).alias("e"))
-    both = rt.retime(rt.retime(views, o, ["script"], "s", 6 * HOUR, "new_s"), o, ["script"], "e", 6 * HOUR, "new_e")
+    both = iv.moved(views, ["s", "e"], lambda items, t, out: rt.retime(items, o, ["script"], t, 6 * HOUR, out))
     number = F.row_number().over(Window.partitionBy("script").orderBy("ord")).cast("long")
-    subs = both.select("script", F.lit("subtitle").alias("asset"), "ord", "new_s", "new_e", number.alias("number"))
+    subs = both.select("script", F.lit("subtitle").alias("asset"), "ord", F.col("s").alias("new_s"), F.col("e").alias("new_e"), number.alias("number"))
     return clicks.select("script", F.lit("action").alias("asset"), "ord", "new_s", F.col("new_s").alias("new_e"), F.lit(None).cast("long").alias("number")).unionByName(subs)
 
 

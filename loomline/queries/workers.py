@@ -30,16 +30,30 @@ def sc16_versions(spark: SparkSession, d: str) -> DataFrame:
     return tb.actions(spark, d).select("script", "ord", F.concat("kind", old).alias("id"))
 
 
-@query(with_sql("actions") + "SELECT script, ord // 50 AS segment, count(*) AS words, min(t) AS s, max(t + 20) AS e FROM actions GROUP BY ALL HAVING max(t + 20) - min(t) >= 20")
+@query(with_sql("subtitles") + ", w AS (SELECT doc, ord, s, unnest(range(len(string_split(text, ' ')))) AS i, unnest(string_split(text, ' ')) AS word FROM subtitles), g AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(word, '[,.?!、。]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc, ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM w) SELECT doc, ord, CAST(segment AS BIGINT) AS segment, min(s + 100 * i) AS s, max(s + 100 * i + 90) AS e, string_agg(word, '' ORDER BY i) AS text FROM g GROUP BY doc, ord, segment HAVING max(100 * i + 90) - min(100 * i) >= 100")
 def sc17_transcript_json(spark: SparkSession, d: str) -> DataFrame:
-    """Segments and words of a transcript document, read from JSON text; too short ones are dropped (PF3)."""
-    word = F.struct((F.col("t") / 1000.0).alias("start"), ((F.col("t") + 20) / 1000.0).alias("end"), F.col("kind").alias("word"))
-    seg = tb.actions(spark, d).groupBy("script", F.expr("ord div 50").alias("segment")).agg(F.collect_list(word).alias("words"))
-    raw = seg.select("script", "segment", F.to_json(F.struct("words")).alias("j"))
-    w = raw.select("script", "segment", F.explode(F.from_json("j", "words array<struct<start: double, end: double, word: string>>")["words"]).alias("w"))
+    """Words of a transcript document, read from JSON text, in segments that end with punctuation; those
+    too short to be speech are dropped."""
+    start = lambda i: (F.col("s") + i * 100) / F.lit(1000.0)
+    words = F.transform(F.split("text", " "), lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.lit(0.09)).alias("end"), x.alias("word")))
+    raw = tb.subtitles(spark, d).select("doc", "ord", F.to_json(F.struct(F.array(F.struct(words.alias("words"))).alias("segments"))).alias("j"))
+    shape = "segments array<struct<words: array<struct<start: double, end: double, word: string>>>>"
+    w = raw.select("doc", "ord", F.explode(F.from_json("j", shape)["segments"]).alias("g")).select("doc", "ord", F.posexplode("g.words").alias("i", "w"))
     ms = lambda c: F.bround(F.col(c) * 1000, 0).cast("long")
-    g = w.groupBy("script", "segment").agg(F.count("*").alias("words"), F.min(ms("w.start")).alias("s"), F.max(ms("w.end")).alias("e"))
-    return g.where(F.col("e") - F.col("s") >= 20)
+    cut = il.breaks_after(w.select("doc", "ord", "i", ms("w.start").alias("ws"), ms("w.end").alias("we"), F.col("w.word").alias("word")), ["doc", "ord"], ["i"], F.col("word").rlike("[,.?!、。]$"))
+    g = cut.groupBy("doc", "ord", "segment").agg(F.min("ws").alias("s"), F.max("we").alias("e"), ag.joined(F.col("word"), ["i"], "").alias("text"))
+    return g.where(F.col("e") - F.col("s") >= 100)
+
+
+@query(with_sql("subtitles") + ", p AS (SELECT doc, ord // 4 AS snippet, ord, s, e, speaker FROM subtitles), o AS (SELECT doc, snippet, min(s) - 700 AS off FROM p GROUP BY ALL) SELECT doc, snippet, row_number() OVER (PARTITION BY doc, snippet ORDER BY p.s, p.e, ord) AS number, p.s AS s, p.e AS e, speaker AS text FROM p JOIN o USING (doc, snippet)")
+def sc18_external_subtitles(spark: SparkSession, d: str) -> DataFrame:
+    """SRT files that an outside tool made of snippets, read with their times from the whole signal's start."""
+    p = tb.subtitles(spark, d).withColumn("snippet", F.expr("ord div 4"))
+    snippets = p.groupBy("doc", "snippet").agg((F.min("s") - 700).alias("off"))
+    own = p.join(snippets, ["doc", "snippet"]).withColumn("s", F.col("s") - F.col("off")).withColumn("e", F.col("e") - F.col("off"))
+    files = st.write_srt(own, ["doc", "snippet"], "s", "e", "speaker", "ord")
+    read = st.read_srt(files, ["doc", "snippet"], "content").join(snippets, ["doc", "snippet"])
+    return read.select("doc", "snippet", F.col("number").cast("long").alias("number"), (F.col("s") + F.col("off")).alias("s"), (F.col("e") + F.col("off")).alias("e"), F.array_join("lines", "/").alias("text"))
 
 
 @query(with_sql("timings") + ", src AS (SELECT script, ord, s, least(e, s + 1800000) AS e, kind FROM timings), hit AS (SELECT t.script, t.ord, x.kind AS source, x.ord AS x_ord, x.s AS xs FROM src t JOIN src x ON t.script = x.script AND x.kind IN ('view', 'error') AND x.s < t.e + 3600000 AND x.e > t.s WHERE t.kind = 'click') SELECT script, ord, string_agg('[' || source || '] ' || x_ord, chr(10) ORDER BY source, xs, x_ord) AS text FROM hit GROUP BY ALL")
