@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
 
 _FENCE = re.compile(r"```\n?(.*?)\n?```", re.S)
 
@@ -19,14 +22,17 @@ def flat_config(text: str) -> dict[str, str]:
     return {k.lower(): str(v) for k, v in read_config(text).items()}
 
 
-def annotate_times(answer: str, place) -> str:
-    """Add what `place(time text)` gives, in brackets, to each start and end time of an answer;
-    a time that it can't read stays as it is."""
+_TIME = r'"(?:StartTime|EndTime)":\s*"[^"]*"'
+
+
+def annotate_times(answer: Column, place: Callable[[Column], Column]) -> Column:
+    """Add what `place(time text)` gives, in brackets, to each start and end time of an answer; a time for
+    which it gives null stays as it is."""
+    hits = F.regexp_extract_all(answer, F.lit(_TIME), F.lit(0))
 
-    def one(m: re.Match) -> str:
-        try:
-            return f"{m[1]} [{place(m[2])}]\""
-        except ValueError:
-            return m[0]
+    def noted(hit: Column) -> Column:
+        where = place(F.regexp_extract(hit, r':\s*"([^"]*)"$', 1))
+        return F.when(where.isNull(), hit).otherwise(F.concat(F.substring(hit, F.lit(1), F.length(hit) - 1), F.lit(" ["), where, F.lit(']"')))
 
-    return re.sub(r'("(?:StartTime|EndTime)":\s*"([^"]*))"', one, answer)
+    pieces = F.split(answer, _TIME, -1)
+    return F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.when(i < F.size(hits), noted(F.get(hits, i))).otherwise(""))), "")

@@ -126,12 +126,12 @@ def ws22_st13_chunked_scan(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("script").applyInPandas(run, "script long, s long, e long")
 
 
-@query(with_sql("actions") + "SELECT ord, '{\"StartTime\": \"' || (k % 60) || ' [part ' || k % 60 // 30 || ']\", \"Text\": \"x\"}' AS shown FROM actions")
+@query(with_sql("actions") + "SELECT ord, '{\"StartTime\": \"' || (k % 60) || ' [part ' || k % 60 // 30 || ']\", \"EndTime\":\"x\", \"Text\": \"x\"}' AS shown FROM actions")
 def sf25_real_times(spark: SparkSession, d: str) -> DataFrame:
-    """Times in answers with the part they fall in."""
-    raw = F.concat(F.lit('{"StartTime": "'), (F.col("k") % 60).cast("string"), F.lit('", "Text": "x"}'))
-    note = F.pandas_udf(lambda s: s.map(lambda x: hybrid.annotate_times(x, lambda t: f"part {int(t) // 30}")), "string")
-    return tb.actions(spark, d).select("ord", note(raw).alias("shown"))
+    """Times in answers with the part they fall in; one that isn't a time stays."""
+    raw = F.concat(F.lit('{"StartTime": "'), (F.col("k") % 60).cast("string"), F.lit('", "EndTime":"x", "Text": "x"}'))
+    part = lambda t: F.concat(F.lit("part "), F.floor(F.try_to_number(t, F.lit("99")) / 30).cast("string"))
+    return tb.actions(spark, d).select("ord", hybrid.annotate_times(raw, part).alias("shown"))
 
 
 @query(with_sql("timings", "offsets") + "SELECT script, count(*) AS kept, CAST(sum(greatest(t.s, o.s) + o.off) AS BIGINT) AS starts, count(DISTINCT o.ord) AS stretches FROM timings t JOIN offsets o ON t.s >= o.s AND t.s < o.e WHERE o.off IS NOT NULL AND t.e + o.off >= 0 GROUP BY script")
