@@ -193,9 +193,10 @@ def blocks_of(html: str) -> tuple[list[Block], list[float]]:
 # The classifier: log-odds of a block by its own text and element, without its surroundings.
 
 _WORD_BINS = (1, 2, 4, 8, 16, 32)
-_TAG_GROUPS = ("p", "heading", "item", "cell", "other")
-#: Prior weights: bias, seven bins of words, four of link share, sentence end, rights line, five groups of elements.
-_PRIOR = np.array([-0.9, 0.05, 0.1, 0.2, 0.35, 0.65, 1.2, 2.0, 0.0, 0.0, -2.6, -4.0, 0.5, -4.0, 0.0, 0.9, 0.0, 0.0, 0.0])
+_TAG_GROUPS = ("plain", "heading", "item", "cell")
+#: Prior weights: bias, seven bins of words, four of link share, sentence end, rights line, four groups of elements.
+#: Whether plain text stands in a paragraph or a division is left to the cut: pages differ too much in it.
+_PRIOR = np.array([-0.9, 0.05, 0.1, 0.2, 0.35, 0.65, 1.2, 2.0, 0.0, 0.0, -2.6, -4.0, 0.5, -4.0, 0.0, 0.9, 0.0, 0.0])
 _SHAPE = (len(_WORD_BINS) + 1, 4, 2, 2, len(_TAG_GROUPS))
 
 
@@ -206,7 +207,7 @@ def cell_of(block: Block) -> int:
     links = 0 if block.links == 0 else 1 if block.links <= 0.4 else 2 if block.links < 0.9 else 3
     ends = block.text[-1] in ".!?\"'”:;"
     rights = block.text[0] == "©" or "all rights reserved" in block.text[:200].lower() and words < 40
-    group = 0 if block.tag == "p" else 1 if block.tag[:1] == "h" else 2 if block.tag in ("li", "dt", "dd") else 3 if block.tag in ("td", "th") else 4
+    group = 1 if block.tag[:1] == "h" else 2 if block.tag in ("li", "dt", "dd") else 3 if block.tag in ("td", "th") else 0
     return int(np.ravel_multi_index((size, links, int(ends), int(rights), group), _SHAPE))
 
 

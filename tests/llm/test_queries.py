@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import itertools
 import re
 import zlib
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from loomline.llm import langid, quality, queries, urlrules
+from loomline.llm import htmlcut, langid, quality, queries, urlrules
 
 DIR = "/root/testdata/sf0.001"
 
@@ -105,6 +106,22 @@ def test_urls_equal_brute_force(spark):
     assert decided[True, "block"] > 0 and decided[True, "allow"] > 0
 
 
+def test_pages_equal_brute_force(spark):
+    """The article element of every page, its tags taken out; and blocks whose own cost says otherwise, such as
+    every page's advert, are settled by the cut."""
+    d = "/root/testdata/sf0.1"
+    pages = pd.read_parquet(f"{d}/pages.parquet")
+    got = queries.op5_html(spark, d).toPandas().set_index("page_id")
+    for i, page in zip(pages.page_id, pages.html):
+        inside = page[page.index("<article>") : page.index("</article>")]
+        want = " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:article|h1|p|br)[^>]*>", " ", inside))).split())
+        assert got.text[i] == want and got.n_chars[i] == len(want)
+    costs = htmlcut.fit(spark.read.parquet(f"{d}/pages.parquet"))
+    blocks = [x for page in pages.html for x in htmlcut.labelled(page, costs)]
+    flipped = [b for b, cost, keep in blocks if (cost > 0) != keep]
+    assert len(pages) <= len(flipped) < 0.1 * len(blocks)
+
+
 def test_vectors_recall(spark, tmp_path):
     """The registered query over planted groups and pairs just over 0.9, among the table's own vectors."""
     e = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").embedding
