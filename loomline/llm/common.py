@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomline.session import scratch, shared_folder, ship_package
 
@@ -36,7 +38,11 @@ def _release() -> None:
 
 def lean(run):
     """For `mapInArrow`: `run`, and then `_release`. Workers wait for their next task beside the others of an
-    executor, several to a core, so what each of them keeps counts."""
+    executor, several to a core, so what each of them keeps counts. The package is sent to the
+    executors, if it wasn't, whatever the table was read by."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship_package(session)
 
     def go(batches):
         yield from run(batches)
@@ -65,6 +71,22 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def bitmap(ids: DataFrame) -> tuple[Callable[[np.ndarray], np.ndarray], Callable[[Column], Column]]:
+    """Which of some places hold an id of `ids(id)`, and the place of an id: a filter, for workers, that passes
+    all these ids and about one of 64 others (more beyond four million ids).
+
+    64 bits or more for each id but at most 2**28, so at most 32 MB reach the driver and the workers
+    whatever the number of ids."""
+    n = ids.count()
+    bits = 1 << min(28, max(15, (64 * n).bit_length()))
+    place = lambda i: F.pmod(F.xxhash64(i, F.lit(5)), F.lit(bits))
+    held = np.zeros(bits // 8, dtype=np.uint8)
+    parts = ids.select(place(F.col("id")).alias("p")).groupBy(F.expr("p div 32768").alias("b")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("m"))
+    for r in parts.collect():
+        held[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
+    return lambda p: (held[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool), place
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the id as text leaves remainder 2 by 4; false for null ids."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

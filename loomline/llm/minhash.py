@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, cut, lean
+from .common import bitmap, connected_components, cut, lean
 
 #: 32 bands of 5 rows: at a similarity of 0.8 a pair shares no band once in 300,000 times.
 BANDS, ROWS = 32, 5
@@ -157,37 +157,22 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col)).mapInArrow(lean(run), f"id {kind}, text_hash long, n long, h long, g long, bands array<bigint>")
 
 
-def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits of the hashed ids, as bytes, and their number: 64 or more for each id but at most
-    2**28, so at most 32 MB reach the driver whatever the number of ids."""
-    n = ids.count()
-    bits = 1 << min(28, max(15, (64 * n).bit_length()))
-    at = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(bits))
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    parts = ids.select(at.alias("p")).groupBy(F.expr("p div 32768").alias("b")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("m"))
-    for r in parts.collect():
-        out[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
-    return out, bits
-
-
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
     """`(c, shingles)` of the classes in `wanted(c, rep, h, g, n)`.
 
     A bitmap of hashed ids of bounded size picks documents as they are read, so no text is shuffled.
     What it picks is told apart by its whole set, not by its id: an id that several texts share, and
     one picked in vain, give the set of each class that is wanted and no other."""
-    bitmap, bits = _bitmap(wanted.select(F.col("rep").alias("id")).distinct())
+    holds, at = bitmap(wanted.select(F.col("rep").alias("id")).distinct())
 
     def run(batches):
         for batch in batches:
-            p = batch.column(1).to_numpy()
-            take = np.flatnonzero(bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+            take = np.flatnonzero(holds(batch.column(1).to_numpy()))
             for lo in range(0, len(take), 256):
                 sets = shingle_sets(batch.column(0).take(pa.array(take[lo : lo + 256])).to_pylist(), size)
                 yield pa.RecordBatch.from_arrays([*_identity(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "h", "g", "shingles"])
 
-    at = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(bits))
-    found = docs.select(F.col(text_col), at.alias("p")).mapInArrow(lean(run), "n long, h long, g long, shingles binary")
+    found = docs.select(F.col(text_col), at(F.col(id_col)).alias("p")).mapInArrow(lean(run), "n long, h long, g long, shingles binary")
     return found.dropDuplicates(["h", "g", "n"]).join(wanted.select("c", "h", "g", "n"), ["h", "g", "n"]).select("c", "shingles")
 
 

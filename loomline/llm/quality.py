@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, lean, slices
+from .common import bitmap, cut, lean, slices
 
 #: Statistics of a text, in the order of `statistics`.
 NAMES = ("words", "word_length", "upper", "digits", "symbols", "pauses", "exclaims", "bars", "lines", "distinct", "repeats", "wide", "longest")
@@ -76,15 +76,18 @@ class QuadraticDiscriminant:
         return 1 / (1 + np.exp(-np.clip(self.temper * (log[1] - log[0]), -60, 60)))
 
 
-def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`(id_col, x array<double>)` for each document; narrow."""
+def features(docs: DataFrame, id_col: str, text_col: str, among: DataFrame | None = None) -> DataFrame:
+    """`(id_col, x array<double>)` for each document, or for those with an id in `among(id)` and a few others; narrow."""
     kind = docs.schema[id_col].dataType.simpleString()
+    holds, place = bitmap(among) if among is not None else (None, lambda i: F.lit(0))
 
     def run(batches):
         for batch in slices(batches):
+            if holds is not None:
+                batch = batch.filter(pa.array(holds(batch.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=[id_col, "x"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, x array<double>")
+    return docs.select(F.col(id_col), F.col(text_col), place(F.col(id_col)).alias("p")).mapInArrow(lean(run), f"`{id_col}` {kind}, x array<double>")
 
 
 def fit(labelled: DataFrame, label_col: str, shrinkage: float = 0.1) -> QuadraticDiscriminant:
@@ -133,10 +136,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, shrinkage: float = 0.1) -> DataFrame:
     """The documents of score `threshold` or more, with all their columns.
 
-    Learns like `classify`. The filter is narrow: statistics are taken again as the texts stream
-    by, so no text is shuffled. Nulls and empty tables are treated as in `classify`."""
+    Learns like `classify`, from statistics of the labelled documents alone. The filter is narrow:
+    statistics are taken as the texts stream by, so no text is shuffled. Nulls and empty tables are treated as in `classify`."""
     taught = labels.select(F.col(id_col), F.col(label_col).alias("_label"))
-    model = fit(features(docs, id_col, text_col).join(taught, id_col), "_label", shrinkage)
+    some = taught.where(F.col("_label").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id"))
+    model = fit(features(docs, id_col, text_col, some).join(taught, id_col), "_label", shrinkage)
     at = docs.columns.index(text_col)
 
     def run(batches):
