@@ -162,7 +162,7 @@ def sf10_envelope_codec(spark: SparkSession, d: str) -> DataFrame:
     """Envelopes encoded and decoded again."""
     both = F.pandas_udf(lambda s: s.map(lambda x: envelopes.decode(envelopes.encode(x)) == list(x)), T.BooleanType())
     a = tb.actions(spark, d).groupBy("script").agg(F.sort_array(F.collect_list(F.floor(F.col("value") * 100).cast("int"))).alias("x"))
-    return a.select("script", F.size("x").alias("n"), both("x").alias("same"))
+    return a.select("script", F.size("x").cast("long").alias("n"), both("x").alias("same"))
 
 
 @query("SELECT dir, a[1:" + _PREFIX.format(a="a", z="z") + "] || '|' || right(z, " + _SUFFIX.format(a="a", z="z") + ") AS affixes FROM (SELECT source AS dir, min(lang || doc_id) AS a, max(lang || doc_id) AS z FROM documents GROUP BY source)")

@@ -92,7 +92,7 @@ def _heard(signal: DataFrame, parts: DataFrame) -> DataFrame:
     return snippets.mapInPandas(au.transcribed(_listener, ["script"]), "script long, s long, e long, text string")
 
 
-@query(with_sql("actions") + _PCM + "SELECT script, 0 AS s, count(*) AS e, count(*) || ' samples, ' || CAST(sum(v) AS BIGINT) AS text FROM pcm GROUP BY script")
+@query(with_sql("actions") + _PCM + "SELECT script, CAST(0 AS BIGINT) AS s, count(*) AS e, count(*) || ' samples, ' || CAST(sum(v) AS BIGINT) AS text FROM pcm GROUP BY script")
 def ud2_full_transcriber(spark: SparkSession, d: str) -> DataFrame:
     """A whole signal given to a transcriber, in one snippet."""
     p = _pcm(spark, d).drop("pos")
@@ -115,7 +115,7 @@ class Extractor:
             yield n, at
 
 
-@query(with_sql("timings") + "SELECT script, ord, n, CASE n WHEN 0 THEN s WHEN 1 THEN (s + e) // 2 ELSE e END AS at FROM timings, range(3) r(n) WHERE kind = 'view'")
+@query(with_sql("timings") + "SELECT script, ord, CAST(n AS INTEGER) AS n, CASE n WHEN 0 THEN s WHEN 1 THEN (s + e) // 2 ELSE e END AS at FROM timings, range(3) r(n) WHERE kind = 'view'")
 def ud4_extractor(spark: SparkSession, d: str) -> DataFrame:
     """An extractor registered as a table function and joined laterally to the timings."""
     extract = F.udtf(Extractor, returnType="n int, at bigint")

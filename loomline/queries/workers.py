@@ -82,7 +82,7 @@ def j13_least_error(spark: SparkSession, d: str) -> DataFrame:
     error over sixteen samples, ties to that nearest the middle of the first signal."""
     by = Window.partitionBy("script").orderBy("ord")
     rise = F.col("pos") - F.lag("pos", 1).over(by)
-    w = tb.actions(spark, d).select("script", F.expr(f"t div {24 * HOUR}").alias("day"), "ord", F.row_number().over(by).alias("i"), F.coalesce(rise, F.lit(0)).alias("rise"), F.collect_list("pos").over(by.rowsBetween(0, 15)).alias("v"), F.count("*").over(Window.partitionBy("script")).alias("n"))
+    w = tb.actions(spark, d).select("script", F.expr(f"t div {24 * HOUR}").alias("day"), "ord", F.row_number().over(by).cast("long").alias("i"), F.coalesce(rise, F.lit(0)).alias("rise"), F.collect_list("pos").over(by.rowsBetween(0, 15)).alias("v"), F.count("*").over(Window.partitionBy("script")).alias("n"))
     peaks = w.withColumn("k", F.row_number().over(Window.partitionBy("script", "day").orderBy(F.desc("rise"), "i"))).where("k <= 3 and size(v) = 16")
     off = F.abs(F.expr("(n + 1) div 2 - (2 * i + 16) div 2"))
     other = peaks.select((F.col("script") - 1).alias("script"), F.col("i").alias("j"), F.col("v").alias("u"))
