@@ -102,18 +102,22 @@ class ForcedBoundaryBPE:
         return out if self._id_of_rank is None else self._id_of_rank[out]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words that each follow one space, all together: the cuts come from one vector pass."""
-        text = " " + " ".join(words)
-        tokens = self._words(text)
+        """Encode words that each follow one space, all together: the cuts come from one vector pass. A word
+        of letters alone is one pre-token with its space; the others are split by the pattern."""
+        plain, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        text = " ".join(["", *plain, *others])
         raw = text.encode()
+        tokens = self._words(" ".join(["", *others])) if others else []
+        sized = (plain, tokens) if len(raw) == len(text) else (map(str.encode, plain), map(str.encode, tokens))
+        lengths = np.concatenate((np.fromiter(map(len, sized[0]), dtype=np.int64, count=len(plain)) + 1, np.fromiter(map(len, sized[1]), dtype=np.int64, count=len(tokens))))
+        first = np.concatenate((np.ones(len(plain), dtype=bool), np.fromiter((t[0] == " " for t in tokens), dtype=bool, count=len(tokens))))
         b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint16)
         cut = np.zeros(len(raw) + 1, dtype=bool)
         cut[1:-1] = self._never[b[:-1] << 8 | b[1:]]
-        lengths = np.fromiter(map(len, map(str.encode, tokens)), dtype=np.int64, count=len(tokens))
         ends = np.cumsum(lengths)
         cut[ends] = True
         start = np.zeros(len(raw) + 1, dtype=bool)  # of a word: pre-tokens that begin with the joining space
-        start[(ends - lengths)[np.fromiter((t[0] == " " for t in tokens), dtype=bool, count=len(tokens))]] = True
+        start[(ends - lengths)[first]] = True
         ends = np.flatnonzero(cut)
         starts = np.concatenate(([0], ends[:-1]))
         piece, ranks, bounds = self._piece, [], []
@@ -123,7 +127,7 @@ class ForcedBoundaryBPE:
             ranks += piece(raw[i:j])
         bounds.append(len(ranks))
         ids = self._ids(ranks).tobytes()
-        self._after_space.update(zip(words, [ids[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:])]))
+        self._after_space.update(zip(plain + others, [ids[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:])]))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
