@@ -5,7 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import intervals as iv, islands as il
+from . import intervals as iv
+
+# Marks of the blocks of a control file.
+ACTIONS, FILLED, ISOLATED = "[FUNSCRIPT_ACTIONS]", "[FILLED GAP]", "[ISOLATED ({}%)] "
 
 
 def clamp(x: Column, low: Column | int, high: Column | int) -> Column:
@@ -45,7 +48,8 @@ def subtitle_blocks(subs: DataFrame, by: list[str], order: str, s: str, e: str,
     reaches it. Returns `by, block, s, e, text`."""
     parted = split_padded(subs, by, [s, order], s, e, before, after, 0, video)
     d = density(parted, subs, by, order, s, e, half, video)
-    mark = F.when(F.col("density") <= isolated, F.concat(F.lit("[ISOLATED ("), F.bround(F.col("density") * 100, 0).cast("long").cast("string"), F.lit("%)] "), text)).otherwise(F.col(text))
+    before_, after_ = ISOLATED.split("{}")
+    mark = F.when(F.col("density") <= isolated, F.concat(F.lit(before_), F.bround(F.col("density") * 100, 0).cast("long").cast("string"), F.lit(after_), text)).otherwise(F.col(text))
     # Parting keeps the order of the padded starts.
     w = Window.partitionBy(*by).orderBy(s, order)
     rows = parted.join(d, [*by, order]).withColumn("_t", mark).withColumn("_i", F.row_number().over(w))
@@ -65,11 +69,11 @@ def control_plan(subs: DataFrame, actions: DataFrame, by: list[str], order: str,
     padded = actions.select(*by, clamp(F.col(at) - pad[0], 0, video).alias("_fs"), clamp(F.col(at) + pad[1], 0, video).alias("_fe"))
     fun = iv.merge_close(padded, by, "_fs", "_fe", ["_fe"], fun_gap)
     pieces = iv.subtract(blocks, fun, by, ["block", text], (s, e), ("_fs", "_fe"), width).select(*by, s, e, text)
-    both = pieces.unionByName(fun.select(*by, F.col("_fs").alias(s), F.col("_fe").alias(e), F.lit("[FUNSCRIPT_ACTIONS]").alias(text)))
+    both = pieces.unionByName(fun.select(*by, F.col("_fs").alias(s), F.col("_fe").alias(e), F.lit(ACTIONS).alias(text)))
     w = Window.partitionBy(*by).orderBy(s, e, text)
     gaps = both.select(*by, F.col(e).alias("_s"), F.lead(s).over(w).alias("_e"))
     least = min(sub["gap"], fun_gap)
-    bridges = gaps.where((F.col("_e") - F.col("_s") > 0) & (F.col("_e") - F.col("_s") <= least)).select(*by, F.col("_s").alias(s), F.col("_e").alias(e), F.lit("[FILLED GAP]").alias(text))
+    bridges = gaps.where((F.col("_e") - F.col("_s") > 0) & (F.col("_e") - F.col("_s") <= least)).select(*by, F.col("_s").alias(s), F.col("_e").alias(e), F.lit(FILLED).alias(text))
     return both.unionByName(bridges)
 
 
