@@ -34,7 +34,8 @@ def with_retry(call: Callable, attempts: int = 3, first_wait: float = 1.0, sleep
 
 
 class Failover:
-    """Engines in order of preference; one that is unavailable is skipped until its pause is over."""
+    """Engines in order of preference; one that is unavailable is skipped until its pause is over. One without a
+    pause is never skipped, whatever calls in other threads run into."""
 
     def __init__(self, engines: list[Callable], clock: Callable = time.monotonic):
         self.engines, self.clock, self.skip_until = engines, clock, [0.0] * len(engines)
@@ -42,27 +43,31 @@ class Failover:
     def __call__(self, x):
         last: Exception = Unavailable("every engine is paused")
         for i, engine in enumerate(self.engines):
-            if self.clock() < self.skip_until[i]:
+            until = self.skip_until[i]  # read before the clock: another call may set it between the two
+            if self.clock() < until:
                 continue
             try:
                 return engine(x)
             except Unavailable as e:
-                self.skip_until[i], last = self.clock() + e.pause, e
+                last = e
+                if e.pause > 0:
+                    self.skip_until[i] = self.clock() + e.pause
         raise last
 
 
 def answered(make: Callable[[], Callable], column: str, out: str, in_flight: int = 5) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """For `mapInPandas`: rows with the engine's answer, at most `in_flight` calls at once, consumed
-    oldest first. At the first failure the answers before it are kept and the rest stay null."""
+    oldest first. At the first failure the answers before it are kept and the rest stay null. A null is
+    not sent and has no answer."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make()
         with ThreadPoolExecutor(in_flight) as pool:
             for batch in batches:
                 answers, failed = [], False
-                for f in [pool.submit(call, x) for x in batch[column]]:
+                for f in [None if pd.isna(x) else pool.submit(call, x) for x in batch[column]]:
                     try:
-                        answers.append(None if failed else f.result())
+                        answers.append(None if failed or f is None else f.result())
                     except Unavailable:
                         failed = True
                         answers.append(None)

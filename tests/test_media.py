@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -80,6 +81,34 @@ def test_batches_end_fail_and_time_out():
     assert rq.batch_answers([], None, None, None, None) == []
 
 
+@pytest.mark.parametrize("pause", [0, 5])
+def test_a_failure_between_clock_and_check_skips_no_other_call(pause):
+    """Another call fails while the first one reads the clock: its engine is still asked."""
+    now, other = [0], []
+
+    def clock():
+        now[0] += 1
+        t = now[0]
+        if not other:
+            other.append("started")
+            other.append(engines("error"))
+        return t
+
+    def first(x):
+        if x.startswith("e"):
+            raise rq.Unavailable(pause=pause)
+        return x.upper()
+
+    engines = rq.Failover([first, lambda x: x[::-1]], clock=clock)
+    assert engines("view") == "VIEW" and other[1] == "rorre"
+    assert engines("view") == ("weiv" if pause else "VIEW")  # a pause holds from then on
+
+
+def test_nulls_are_not_sent():
+    out = list(rq.answered(lambda: str.upper, "x", "y")(iter([pd.DataFrame({"x": ["a", None, "b"]}), pd.DataFrame({"x": [None]}, dtype=object)])))
+    assert [o.y.tolist() for o in out] == [["A", None, "B"], [None]]
+
+
 def test_files_are_moved_whole(spark, tmp_path):
     for n in (3, 5):
         ls.save_replacing(spark.range(n), f"{tmp_path}/t")
