@@ -8,7 +8,10 @@ import numpy as np
 
 
 def encode(samples) -> bytes:
-    return gzip.compress(np.asarray(samples, dtype=">u2").tobytes(), mtime=0)
+    x = np.asarray(samples)
+    if x.size and not (0 <= x.min() and x.max() <= 0xFFFF):
+        raise ValueError("a sample is not an unsigned 16-bit integer")  # an array's would be taken modulo 2**16
+    return gzip.compress(x.astype(">u2").tobytes(), mtime=0)
 
 
 def decode(data: bytes) -> list[int]:

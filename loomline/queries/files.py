@@ -159,10 +159,14 @@ def sc3_motion_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_sql("actions") + "SELECT script, count(*) AS n, true AS same FROM actions GROUP BY script")
 def sf10_envelope_codec(spark: SparkSession, d: str) -> DataFrame:
-    """Envelopes encoded and decoded again."""
-    both = F.pandas_udf(lambda s: s.map(lambda x: envelopes.decode(envelopes.encode(x)) == list(x)), T.BooleanType())
-    a = tb.actions(spark, d).groupBy("script").agg(F.sort_array(F.collect_list(F.floor(F.col("value") * 100).cast("int"))).alias("x"))
-    return a.select("script", F.size("x").cast("long").alias("n"), both("x").alias("same"))
+    """Envelopes encoded and decoded again. A value is four samples, the 16-bit words of its 64 bits, as no one sample holds all values."""
+
+    def there_and_back(s: pd.Series) -> pd.Series:
+        words = s.map(lambda x: np.asarray(x, ">f8").view(">u2"))
+        return words.map(lambda x: envelopes.decode(envelopes.encode(x)) == x.tolist())
+
+    a = tb.actions(spark, d).groupBy("script").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("value")).alias("x"))
+    return a.select("script", "n", F.pandas_udf(there_and_back, T.BooleanType())("x").alias("same"))
 
 
 @query("SELECT dir, a[1:" + _PREFIX.format(a="a", z="z") + "] || '|' || right(z, " + _SUFFIX.format(a="a", z="z") + ") AS affixes FROM (SELECT source AS dir, min(lang || doc_id) AS a, max(lang || doc_id) AS z FROM documents GROUP BY source)")

@@ -2,12 +2,14 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from loomline.functions import envelopes, text as tx, times as tm
 from loomline.operators import aggregates as ag, intervals as iv, islands as il, motion as mo, sequential as sq
 from loomline.plans import workers
+from loomline.queries import files
 from loomline.sources import motion_file, subtitles as sb
 from loomline.streaming import voice
 
@@ -144,6 +146,21 @@ def test_envelope_codec(x):
     assert envelopes.decode(envelopes.encode(x)) == x
 
 
+def test_envelope_codec_refuses_what_it_cannot_hold():
+    for x in ([65536], [-1], [0, 70000]):
+        with pytest.raises(ValueError):
+            envelopes.encode(np.asarray(x))
+
+
+def test_envelope_query_holds_values_of_any_size(spark, tmp_path):
+    """Values over 655.35, negative, huge and missing ones; every event counts."""
+    values = [0.0, 655.35, 655.36, 700.0, -3.5, 1e300, float("inf"), None]
+    ts = pd.Timestamp("2024-01-02")
+    e = pd.DataFrame({"event_id": range(10), "ts": pd.Series([ts] * 10).astype("datetime64[us]"), "user_id": [1] * 8 + [2] * 2, "event_type": "view", "value": [*values, None, None], "props": '{"k": 1}'})
+    e.to_parquet(f"{tmp_path}/events.parquet")
+    assert rows(files.sf10_envelope_codec(spark, str(tmp_path))) == [(1, 8, True), (2, 2, True)]
+
+
 def test_voice_batch_and_stream_steps():
     assert voice.speech_spans([0.1, 0.6, 0.4, 0.3, 0.3, 0.3, 0.1], speech=0, silence=1024, pad=0) == [(512, 1536)]
     gate = voice.Hysteresis(silence=1024, pad=0)
