@@ -26,7 +26,7 @@ def slices(batches, rows: int = 512):
             yield batch.slice(lo, rows)
 
 
-def _release() -> None:
+def release() -> None:
     """Give back to the system what this worker's allocators keep of memory that is free."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -37,7 +37,7 @@ def _release() -> None:
 
 
 def lean(run):
-    """For `mapInArrow`: `run`, and then `_release`. Workers wait for their next task beside the others of an
+    """For `mapInArrow`: `run`, and then `release`. Workers wait for their next task beside the others of an
     executor, several to a core, so what each of them keeps counts. The package is sent to the
     executors, if it wasn't, whatever the table was read by."""
     session = SparkSession.getActiveSession()
@@ -46,7 +46,7 @@ def lean(run):
 
     def go(batches):
         yield from run(batches)
-        _release()
+        release()
 
     return go
 

@@ -6,13 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, connected_components, cut, lean
+from .common import bitmap, connected_components, cut, lean, release
 
 #: 32 bands of 5 rows: at a similarity of 0.8 a pair shares no band once in 300,000 times.
 BANDS, ROWS = 32, 5
 #: Members and shingles of one block of a bucket, about; a task compares two blocks at most, so that
 #: its memory is bounded by both, whatever the length of the texts. A longer text is alone all the same.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Columns and rows of what a task that compares a cell counts at a time.
+COLUMNS, STRIPE = 1024, 256
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 19
 _M = BANDS * ROWS
@@ -196,28 +198,21 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_cell(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Links between different groups (and sides) of one cell, as few as join the same groups.
 
-    All intersections are counted at once: shingles that two sets share are columns of a 0/1
-    matrix, taken some thousands at a time, whose product with itself is the intersections."""
+    Shingles that two sets share are columns of a 0/1 matrix, taken some hundreds at a time, whose
+    product with itself counts all intersections. Products and links are taken by stripes of rows: beside
+    the counts, memory is a few numbers a shingle and a stripe, however many links there are."""
     n = len(sets)
     lengths = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(n), lengths)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.argsort(column, kind="stable")
-    order = order[times[column[order]] > 1]
-    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
-    both = np.zeros((n, n), dtype=np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        i, j = np.searchsorted(column, [lo, lo + 4096])
-        m = np.zeros((n, 4096), dtype=np.float32)
+    row, column = _shared(sets, lengths)
+    both = np.zeros((n, n), dtype=np.float32)  # above the diagonal
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+        m = np.zeros((n, COLUMNS), dtype=np.float32)
         m[row[i:j], column[i:j] - lo] = 1
-        both += m @ m.T
-    linked = (100 * both >= percent * (lengths[:, None] + lengths[None, :] - both)) & (group[:, None] != group[None, :])
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
-    r, c = np.nonzero(np.triu(linked, 1))
-    a, b = np.minimum(group[r], group[c]), np.maximum(group[r], group[c])
-    _, first = np.unique(a.astype(np.int64) * (int(group.max()) + 1) + b, return_index=True)
-    root = list(range(int(group.max()) + 1))
+        for at in range(0, n, STRIPE):
+            both[at : at + STRIPE, at:] += m[at : at + STRIPE] @ m[at:].T
+    n_groups = int(group.max()) + 1
+    root = list(range(n_groups))
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -226,14 +221,38 @@ def link_cell(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None
         return x
 
     out = []
-    for k in first.tolist():
-        x, y = top(int(a[k])), top(int(b[k]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(r[k]), int(c[k])))
+    for at in range(0, n, STRIPE):
+        own = slice(at, at + STRIPE)
+        common = both[own, at:].astype(float)
+        linked = 100 * common >= percent * (lengths[own, None] + lengths[None, at:] - common)
+        linked &= group[own, None] != group[None, at:]
+        if side is not None:
+            linked &= side[own, None] != side[None, at:]
+        r, c = np.nonzero(np.triu(linked, 1))
+        r, c = r + at, c + at
+        a, b = np.minimum(group[r], group[c]), np.maximum(group[r], group[c])
+        _, first = np.unique(a.astype(np.int64) * n_groups + b, return_index=True)
+        for k in first.tolist():
+            x, y = top(int(a[k])), top(int(b[k]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(r[k]), int(c[k])))
     return out
 
 
+def _shared(sets: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set and column of each shingle that two sets share, by column; columns are numbered from 0."""
+    h = np.concatenate(sets)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    same = h[1:] == h[:-1]
+    del h
+    before, after = np.concatenate(([False], same)), np.concatenate((same, [False]))
+    shared = before | after
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), lengths)[order[shared]]
+    return row, np.cumsum(after & ~before, dtype=np.int32)[shared] - 1
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose sets of `size`-word shingles have a Jaccard similarity of `percent` / 100 or more.
 
@@ -295,12 +314,15 @@ def _cells(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         t = t.combine_chunks().sort_by("c")
         _, group = np.unique(t.column("component").to_numpy(), return_inverse=True)
         sets = []
-        for s in t.column("short").to_pylist():
-            wide = np.zeros((len(s) // 6, 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(s, dtype=np.uint8).reshape(-1, 6)
+        for s in t.column("short"):
+            wide = np.zeros((s.as_buffer().size // 6, 8), dtype=np.uint8)
+            wide[:, :6] = np.frombuffer(s.as_buffer(), dtype=np.uint8).reshape(-1, 6)
             sets.append(wide.reshape(-1).view("<u8"))
         side = None if key[1].as_py() == key[2].as_py() else t.column("own").to_numpy()
         found = link_cell(sets, group, side, percent)
+        if len(sets) > STRIPE:  # what a large cell took isn't kept for the next
+            del sets
+            release()
         c = t.column("c").combine_chunks()
         return pa.table([c.take(pa.array([i for i, _ in found], pa.int64())), c.take(pa.array([j for _, j in found], pa.int64()))], names=["u", "v"])
 
