@@ -136,11 +136,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, shrinkage: float = 0.1) -> DataFrame:
     """The documents of score `threshold` or more, with all their columns.
 
-    Learns like `classify`, from statistics of the labelled documents alone. The filter is narrow:
-    statistics are taken as the texts stream by, so no text is shuffled. Nulls and empty tables are treated as in `classify`."""
+    Learns like `classify`, from statistics of the labelled documents alone. They are checkpointed: with labels few
+    enough to be broadcast, a task would otherwise hold two workers, which an executor then keeps for
+    good. The filter is narrow: statistics are taken as the texts stream by, so no text is shuffled. Nulls
+    and empty tables are treated as in `classify`."""
     taught = labels.select(F.col(id_col), F.col(label_col).alias("_label"))
     some = taught.where(F.col("_label").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id"))
-    model = fit(features(docs, id_col, text_col, some).join(taught, id_col), "_label", shrinkage)
+    model = fit(cut(features(docs, id_col, text_col, some)).join(taught, id_col), "_label", shrinkage)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -4,12 +4,15 @@ import collections
 import hashlib
 import html
 import itertools
+import os
 import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import TaskContext
+from pyspark.sql import GroupedData
 
 import corpus_pipeline
 from loomline.llm import htmlcut, langid, quality, queries, urlrules
@@ -183,3 +186,32 @@ def test_pipeline_stages(spark, documents, tmp_path):
         if name == "near_dedup":
             assert after.text.nunique() == len(after)
         before = after
+
+
+def test_a_task_of_the_pipeline_holds_one_worker(spark, monkeypatch, tmp_path):
+    """Python operators in one task each hold a worker, and an executor keeps all it ever started."""
+    folder, frame = str(tmp_path), type(spark.range(0))
+
+    def note(folder):
+        task = TaskContext.get().taskAttemptId()
+        open(f"{folder}/{task}-{os.getpid()}", "w").close()
+
+    def map_in_arrow(self, run, schema, *rest, plain=frame.mapInArrow):
+        def go(batches):
+            note(folder)
+            yield from run(batches)
+
+        return plain(self, go, schema, *rest)
+
+    def apply_in_arrow(self, run, schema, plain=GroupedData.applyInArrow):
+        def go(key, rows):
+            note(folder)
+            return run(key, rows)
+
+        return plain(self, go, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", map_in_arrow)
+    monkeypatch.setattr(GroupedData, "applyInArrow", apply_in_arrow)
+    corpus_pipeline.run(spark, DIR).write.parquet(f"{tmp_path}/out")
+    held = collections.Counter(p.name.split("-")[0] for p in tmp_path.iterdir() if p.name != "out")
+    assert len(held) > 10 and set(held.values()) == {1}
